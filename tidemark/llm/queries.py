@@ -16,12 +16,50 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_knn import held_out, scored, train
+
+    docs = table(spark, sf_dir, "documents")
+    out = scored(docs, train(docs, table(spark, sf_dir, "labels")))
+    return out.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk_search import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), "id % 20 = 0", k=20)
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe_codec import encoded_documents
 
     return encoded_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
 
 
+def op5_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc_store import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+def op6_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pfair_mix import scheduled
+
+    return scheduled(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import joined
+
+    return joined(table(spark, sf_dir, "documents"), k=5, percent=80).withColumnRenamed("id", "doc_id")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_rows
 
@@ -41,5 +79,38 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe_codec, op8_sharding, op9_quality_rules, op10_token_counts)}
-SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality_knn, op2_topk_search, op3_license_scan, op4_bpe_codec, op5_warc_store, op6_pfair_mix, op7_jaccard_join, op8_sharding, op9_quality_rules, op10_token_counts)
+}
+
+
+def _license_sql() -> str:
+    from .license_scan import oracle
+
+    return oracle()
+
+
+#: Squared sums and hashes of floats aside, these are what SQL can say; the other queries have brute-force tests.
+SQL: dict[str, str] = {
+    "op2_topk_search": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), p -> p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20
+""",
+    "op3_license_scan": _license_sql(),
+    "op5_warc_store": """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+r AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest) ELSE page_id END AS original FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN original = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN original = page_id THEN NULL ELSE original END AS refers_to
+FROM r
+""",
+}
