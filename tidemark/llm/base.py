@@ -54,6 +54,21 @@ def sized_join(left: DataFrame, small: DataFrame, on: list[str], how: str = "inn
     return left.join(F.broadcast(small) if small.count() <= most else small, on, how)
 
 
+#: Two hashes of a whole row, which name it in a table where ids may repeat or be null.
+ROW_KEY = ["__k1", "__k2"]
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    return df.withColumns({"__k1": F.xxhash64(F.lit(1), *cols), "__k2": F.xxhash64(F.lit(2), *cols)})
+
+
+def without(df: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
+    """The rows of a keyed frame but the rejected ones, without the keys."""
+    keys = written(rejected.select(*ROW_KEY).distinct(), name)
+    return sized_join(df, keys, ROW_KEY, "left_anti").drop(*ROW_KEY)
+
+
 def hash_bucket(h: Column, n: int) -> Column:
     """The bucket (0 to n-1) of a 64-bit hash by its high bits, so that buckets keep the hash's order."""
     return F.shiftright(F.shiftrightunsigned(h, 40) * F.lit(n), 24).cast("int")

@@ -100,9 +100,12 @@ def digested(rows: DataFrame, levels, k: int, percent: int) -> DataFrame:
                     out.append((i, 0, None, None, None, None))
             g = pd.DataFrame(out, columns=["id", "n", "digest", "prefix", "pdigest", "bits"])
             g["id"] = f["id"].array
+            for c in f.columns[2:]:
+                g[c] = f[c].array
             yield g
 
-    return rows.mapInPandas(run, "id long, n int, digest binary, prefix array<long>, pdigest binary, bits binary")
+    more = "".join(f", {c} long" for c in rows.columns[2:])
+    return rows.mapInPandas(run, "id long, n int, digest binary, prefix array<long>, pdigest binary, bits binary" + more)
 
 
 def _bits(column: pd.Series) -> np.ndarray:
@@ -256,16 +259,16 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def joined(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL) -> DataFrame:
-    """One row per document: id, n_shingles, component_id, n_links."""
+def joined(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: id, n_shingles, component_id, n_links; and the columns ``carry`` (longs)."""
     spark = docs.sparkSession
     tuned(spark, 2000)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *carry)
     levels = spark.sparkContext.broadcast(sketch(rows, k))  # one byte for each slot
     digests = written(digested(rows, levels, k, percent), "digests")
     pairs = written(class_pairs(digests, percent, cell), "pairs")
-    links = written(linked_pairs(rows, digests, pairs, k, percent), "links")
-    light = digests.select("id", "n", "digest")
+    links = written(linked_pairs(rows.select("id", "text"), digests, pairs, k, percent), "links")
+    light = digests.select("id", "n", "digest", *carry)
     classes = written(light.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "class_sizes")
     named = links.join(classes.select(F.col("digest").alias("a"), F.col("rep").alias("ra"), F.col("copies").alias("ca")), "a").join(classes.select(F.col("digest").alias("b"), F.col("rep").alias("rb"), F.col("copies").alias("cb")), "b")
     named = written(named.select("ra", "rb", "ca", "cb").where("ra is not null and rb is not null"), "named")
@@ -275,4 +278,4 @@ def joined(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
     per_class = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
     per_class = written(per_class.select("digest", F.coalesce("root", "rep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "result")
     out = light.join(per_class, "digest", "left")
-    return out.select("id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), *carry)

@@ -119,24 +119,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     return fit([r["text"] for r in rows], [r["y"] for r in rows])
 
 
-def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """One row per document: id, score; and, with ``carry``, these columns too."""
+def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: id, score; and the columns ``carry`` (longs)."""
     spark = docs.sparkSession
     tuned(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in slices(frames, text_col if carry else "text"):
-            if carry:
-                yield f.assign(**{SCORE: shared.value.scores(f[text_col].tolist())})
-            else:
-                yield pd.DataFrame({"id": f["id"].array, "score": shared.value.scores(f["text"].tolist())})
+        for f in slices(frames, "text"):
+            yield pd.DataFrame({"id": f["id"].array, "score": shared.value.scores(f["text"].tolist()), **{c: f[c].array for c in carry}})
 
-    if carry:
-        from pyspark.sql import types as T
-
-        return docs.select(*carry).mapInPandas(run, T.StructType([*docs.select(*carry).schema.fields, T.StructField(SCORE, T.DoubleType())]))
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, score double")
-
-
-SCORE = "__quality_score"
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *carry)
+    return rows.mapInPandas(run, "id long, score double" + "".join(f", {c} long" for c in carry))

@@ -70,15 +70,16 @@ def _stats(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in slices(frames, "text"):
         out = text_stats(f["text"].tolist())
         out.insert(0, "id", f["id"].array)
-        out["lang"], out["src"] = f["lang"].array, f["src"].array
+        for c in f.columns[2:]:
+            out[c] = f[c].array
         yield out
 
 
-def with_stats(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+def with_stats(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, carry: list[str]) -> DataFrame:
     """One row per document with its base statistics, group keys, base verdict and integer vector."""
     tuned(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), null_safe_key(F.col(lang_col)).alias("lang"), null_safe_key(F.col(source_col)).alias("src"))
-    got = rows.mapInPandas(_stats, STATS + ", lang string, src string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), null_safe_key(F.col(lang_col)).alias("lang"), null_safe_key(F.col(source_col)).alias("src"), *carry)
+    got = rows.mapInPandas(_stats, STATS + ", lang string, src string" + "".join(f", {c} long" for c in carry))
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     x = [F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n), F.sqrt(F.col("n_symbols") / n), F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))), F.sqrt(F.col("n_repeat_words") / n)]
     got = got.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
@@ -161,14 +162,15 @@ def estimates(rows: DataFrame, steps: int = 6, share: float = 0.75) -> DataFrame
     return est
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF, min_group: int = 200) -> DataFrame:
-    """One row per document: id, the base statistics, base_failed, d2 (squared distance, null if base_failed), kept."""
-    rows = written(with_stats(docs, id_col, text_col, lang_col, source_col), "stats")
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF, min_group: int = 200, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: id, the base statistics, base_failed, d2 (squared distance, null if base_failed), kept; and the
+    columns ``carry`` (longs)."""
+    rows = written(with_stats(docs, id_col, text_col, lang_col, source_col, list(carry)), "stats")
     good = written(pooled(rows.where(~F.col("base_failed")), min_group), "vectors")
     est = estimates(good)
     # verdicts depend on the vector and the group alone
     verdict = sized_join(good, est, ["key"]).withColumn("d2", distance())
-    base = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    base = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *carry]
     passed = verdict.select(*base, "d2", (F.col("d2") <= cutoff).alias("kept"))
     failed = rows.where("base_failed").select(*base, F.lit(None).cast("double").alias("d2"), F.lit(False).alias("kept"))
     return passed.unionByName(failed)
