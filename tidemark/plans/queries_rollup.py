@@ -281,8 +281,8 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("app_key"), F.col("value").cast("string").alias("review_id"), F.col("event_id").cast("string").alias("body"), F.lit(None).cast("timestamp").alias("at"), F.col("event_id").alias("seq"))
     rows.write.option("maxRecordsPerFile", 4000).parquet(f"{root}/in")
     stream = feed.feed(spark, f"{root}/in", "app_key string, review_id string, body string, at timestamp, seq long", files_per_batch=1)
-    feed.start(stream, f"{root}/table", f"{root}/state", ["app_key"], "review_id", "body", "at", "seq").awaitTermination()
-    got = feed.latest(spark, f"{root}/table")
+    feed.start(stream, f"{root}/table", f"{root}/state", ["app_key"], "review_id", "seq").awaitTermination()
+    got = feed.latest(spark, f"{root}/table", ["app_key"], "body", "at", "seq")
     return got.select(F.col("seq").alias("event_id"), F.col("app_key").cast("bigint").alias("user_id"), F.col("review_id").cast("double").alias("value"))
 
 

@@ -30,9 +30,9 @@ def discovered_ios(payloads: DataFrame, body: str) -> DataFrame:
 
 def related(pages: DataFrame, seed: str, body: str, n: int) -> DataFrame:
     """(seed, id) of up to ``n`` other apps that a seed's page links to."""
-    rows = pages.select(seed, F.posexplode(html.links(F.col(body))).alias("pos", "link")).select(seed, "pos", html.play_id(F.col("link")).alias("id"))
-    first = rows.where(F.col("id").isNotNull() & (F.col("id") != F.col(seed))).groupBy(seed, "id").agg(F.min("pos").alias("pos"))
-    return first.withColumn("r", F.row_number().over(W.partitionBy(seed).orderBy("pos"))).where(F.col("r") <= n).select(seed, "id")
+    rows = pages.select(F.col(seed).alias("seed"), F.posexplode(html.links(F.col(body))).alias("pos", "link")).select("seed", "pos", html.play_id(F.col("link")).alias("id"))
+    first = rows.where("id is not null and id <> seed").groupBy("seed", "id").agg(F.min("pos").alias("pos"))
+    return first.withColumn("r", F.row_number().over(W.partitionBy("seed").orderBy("pos"))).where(F.col("r") <= n).select("seed", "id")
 
 
 def _finished(df: DataFrame) -> DataFrame:

@@ -28,35 +28,39 @@ def not_late(df: DataFrame, raw_time: str, as_of: dt.datetime, days: int | None)
     return df if days is None else df.where(since_or_unread(F.col(raw_time), as_of, days))
 
 
-def merged(old: DataFrame | None, new: DataFrame, keys: list[str], review_id: str, body: str, time: str, seq: str) -> DataFrame:
-    """What stays of old and new rows: the first row of each id, then the best row of each text."""
-    rows = new if old is None else old.unionByName(new)
-    once = first_by_id(rows, keys, review_id, [F.col(seq).asc()])
-    return best_by_text(once, keys[0], body, time, [F.col(seq).asc()]).drop("text_hash")
+def once(old: DataFrame | None, new: DataFrame, keys: list[str], review_id: str, seq: str) -> DataFrame:
+    """The first row of each id among old and new rows."""
+    return first_by_id(new if old is None else old.unionByName(new), keys, review_id, [F.col(seq).asc()])
 
 
-def upsert(folder: str, keys: list[str], review_id: str, body: str, time: str, seq: str) -> Callable[[DataFrame, int], None]:
+def best(rows: DataFrame, keys: list[str], body: str, time: str, seq: str) -> DataFrame:
+    """The best row of each text among rows with distinct ids."""
+    return best_by_text(rows, keys[0], body, time, [F.col(seq).asc()]).drop("text_hash")
+
+
+def upsert(folder: str, keys: list[str], review_id: str, seq: str) -> Callable[[DataFrame, int], None]:
     """A batch function that keeps ``folder`` as numbered snapshots: batch n is made from the one before it, so running a
-    batch again gives the same snapshot. The newest snapshot is the table."""
+    batch again gives the same snapshot. A snapshot has a row for each id that was ever seen, also where another row has
+    the better text: its id must not come back."""
 
     def run(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         before = f"{folder}/batch={n - 1}"
         old = spark.read.schema(batch.schema).parquet(before) if n > 0 and exists(spark, before) else None
-        merged(old, batch, keys, review_id, body, time, seq).write.mode("overwrite").parquet(f"{folder}/batch={n}")
+        once(old, batch, keys, review_id, seq).write.mode("overwrite").parquet(f"{folder}/batch={n}")
 
     return run
 
 
-def latest(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest snapshot."""
+def latest(spark: SparkSession, folder: str, keys: list[str], body: str, time: str, seq: str) -> DataFrame:
+    """The reviews as they stand: the newest snapshot with the best row of each text."""
     df = spark.read.option("basePath", folder).parquet(f"{folder}/batch=*")
-    return df.where(F.col("batch") == df.agg(F.max("batch")).first()[0]).drop("batch")
+    return best(df.where(F.col("batch") == df.agg(F.max("batch")).first()[0]).drop("batch"), keys, body, time, seq)
 
 
-def start(stream: DataFrame, table: str, checkpoint: str, keys: list[str], review_id: str, body: str, time: str, seq: str) -> StreamingQuery:
+def start(stream: DataFrame, table: str, checkpoint: str, keys: list[str], review_id: str, seq: str) -> StreamingQuery:
     """Run over all files there are, batch by batch, then stop."""
-    run = upsert(table, keys, review_id, body, time, seq)
+    run = upsert(table, keys, review_id, seq)
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
