@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .base import SEED, slices, tuned
 from .textnp import mix, windows, word_hashes, words
 
-SAMPLE, TERMS, RANK, NEIGHBOURS = 2000, 4096, 48, 25
+SAMPLE, TERMS, RANK, NEIGHBOURS = 2000, 4096, 48, 7
 _CLASS = np.arange(256, dtype=np.uint64)
 _CLASS[97:123] = 1
 _CLASS[65:91] = 2
