@@ -153,6 +153,13 @@ def test_readers(spark, tmp_path):
     assert {r.feature for r in named.collect()} == {"timer"}
 
 
+def test_long_table_from_files(spark, tmp_path):
+    (tmp_path / "features_timer.csv").write_text("app_key,title,confidence,signals,review_hits,flag\nPlayStore::a,x,0.8,title,7,\nplay:a,x,0.6,title,1,\nios:id5,y,bad,,,1\n")
+    (tmp_path / "features_long_llm.csv").write_text("app_key,title,confidence,signals,review_hits,flag\nplay:a,x,1,,1,1\n")
+    got = market.features_from_files(spark, [f"{tmp_path}/features_*.csv"], ["timer"]).orderBy("app_key").collect()
+    assert [tuple(r) for r in got] == [("ios:5", "timer", 1, 0.0, 0), ("play:a", "timer", 1, 0.8, 7)]
+
+
 def test_store_pages(spark):
     page = '<title>App</title><a href="/x?id=com.b">b</a><a href="/x?id=com.a">a</a><div>Updated on</div><div>Sep 12, 2025</div><div>4.6 out of 5</div><a href="https://site.example/">s</a>'
     df = spark.createDataFrame([("com.a", "https://store/a", page)], "id string, url string, html string")

@@ -88,12 +88,12 @@ def score_bin(score: Column) -> Column:
 
 
 #: Support labels and their values (fixed values).
-SUPPORT = {"strong_support": 1, "support": 1, "neutral": 0, "against": -1, "strong_against": -1}
+SUPPORT = {"supportive": 1, "neutral": 0, "undermining": -1}
 
 
 def support_value(label: Column) -> Column:
-    low = F.lower(F.trim(text_or_blank(label)))
-    return reduce(lambda rest, k: F.when(low == k, F.lit(SUPPORT[k])).otherwise(rest), SUPPORT, F.lit(0))
+    """1, 0 or -1; 0 for unknown labels."""
+    return reduce(lambda rest, k: F.when(label == k, F.lit(SUPPORT[k])).otherwise(rest), SUPPORT, F.lit(0))
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:

@@ -95,7 +95,7 @@ def store_name(c: Column) -> Column:
 
 def app_key(store: Column, app_id: Column) -> Column:
     """prefix:id, the one spelling of keys; iOS ids are reduced to their digits. Null without an id."""
-    name, text = store_name(store), strip(app_id.cast("string"))
+    name, text = store_name(F.when(F.lower(strip(store)) == "play", F.lit("PlayStore")).otherwise(store)), strip(app_id.cast("string"))
     digits = F.regexp_extract(text, r"(\d+)", 1)
     key = F.when(name == "PlayStore", F.concat(F.lit("play:"), text)).when(name == "AppStore", F.concat(F.lit("ios:"), F.when(digits != "", digits).otherwise(text)))
     key = key.when(name == "ChromeWS", F.concat(F.lit("cws:"), text)).otherwise(F.concat(F.lower(text_or_blank(store)), F.lit(":"), text))

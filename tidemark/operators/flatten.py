@@ -76,7 +76,7 @@ def taxonomy_rows(df: DataFrame, answer: str, carry: list[str]) -> DataFrame:
     rows = df.select(*carry, F.inline(got["features"]))
     blank = lambda c, d: F.coalesce(F.nullif(strip(F.col(c)), F.lit("")), F.lit(d))
     return rows.select(
-        *carry, F.substring(blank("name", "unknown"), 1, 100).alias("feature_name"), blank("category", "other").alias("category"), blank("support", "neutral").alias("support"),
+        *carry, F.substring(blank("name", ""), 1, 100).alias("feature_name"), blank("category", "").alias("category"), blank("support", "neutral").alias("support"),
         support_value(F.col("support")).alias("support_val"), F.coalesce("nd_specific", F.lit(False)).alias("nd_specific"), blank("evidence", "").alias("evidence"),
     )
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, text
 from ..operators import aggregate, dedupe, gates, joins, schema, scoring, sentiment, tagging
+from ..sources import readers
 
 #: Target columns and the names under which sources have them, in order (fixed values).
 ALIASES = {
@@ -90,6 +91,19 @@ def features_long(apps: DataFrame, websites: DataFrame, reviews: DataFrame, leas
     return got.withColumn("flag", numbers.threshold_flag(F.col("confidence"), F.col("review_hits"), least_conf, least_hits))
 
 
+def features_from_files(spark: SparkSession, paths: list[str], manifest: list[str], least_conf: float = 0.60, least_hits: int = 5) -> DataFrame:
+    """The long table from one CSV per feature: keys in one spelling, flags computed where a file has none, the last file's
+    row for a repeated key. Only features of the manifest are taken."""
+    cols = "app_key string, title string, confidence string, signals string, review_hits string, flag string"
+    rows = readers.named_files(spark, paths, cols, manifest=manifest).withColumn("__file", F.col("_metadata.file_name"))
+    hits, conf = numbers.number_or(F.col("review_hits"), 0).cast("bigint"), numbers.number_or(F.col("confidence"), 0.0)
+    flag = F.coalesce(numbers.number(F.col("flag")).cast("int"), numbers.threshold_flag(conf, hits, least_conf, least_hits))
+    parts = F.split(F.regexp_replace("app_key", "::", ":"), ":", 2)
+    key = text.app_key(F.get(parts, F.lit(0)), F.get(parts, F.lit(1)))
+    long = rows.select(F.coalesce(key, F.col("app_key")).alias("app_key"), "feature", flag.alias("flag"), conf.alias("confidence"), hits.alias("review_hits"), "__file")
+    return dedupe.keep_last(long, ["app_key", "feature"], [F.col("__file").desc(), F.col("confidence").desc()]).drop("__file")
+
+
 def bundle(long: DataFrame, apps: DataFrame, app_sentiment: DataFrame) -> DataFrame:
     """The long table with metadata and with sentiment averaged over countries."""
     means = aggregate.plain_rollup(app_sentiment, ["app_key"], ["n_reviews", "n_nd", "avg_rating", "mean_compound", "pct_positive", "pct_negative"])

@@ -144,7 +144,7 @@ def label_counts_top_aspects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_brand, p_type, count(DISTINCT p_size)::BIGINT AS features, round(avg(p_size % 3 - 1), 6) AS mean_support, round(avg((p_retailprice > 1200)::INT), 6) AS share_nd_specific FROM part GROUP BY 1, 2")
 def taxonomy_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label = F.element_at(F.array(F.lit("against"), F.lit("neutral"), F.lit("strong_support")), F.col("p_size") % 3 + 1)
+    label = F.element_at(F.array(F.lit("undermining"), F.lit("neutral"), F.lit("supportive")), F.col("p_size") % 3 + 1)
     rows = table(spark, sf_dir, "part").select("p_brand", "p_type", F.col("p_size").alias("feature_name"), numbers.support_value(label).alias("support_val"), (F.col("p_retailprice") > 1200).alias("nd_specific"))
     got = aggregate.taxonomy_rollup(rows, ["p_brand", "p_type"])
     return got.select("p_brand", "p_type", "features", F.round("mean_support", 6).alias("mean_support"), F.round("share_nd_specific", 6).alias("share_nd_specific"))
@@ -245,19 +245,19 @@ def alias_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, CASE WHEN p_retailprice > 1500 THEN 'Free' ELSE '$' || printf('%.2f', p_size / 4.0) END AS price, (p_size % 3 - 1)::INTEGER AS support FROM part")
 def price_and_support_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label = F.element_at(F.array(F.lit("against"), F.lit("who knows"), F.lit(" Support ")), F.col("p_size") % 3 + 1)
+    label = F.element_at(F.array(F.lit("undermining"), F.lit("who knows"), F.lit("supportive")), F.col("p_size") % 3 + 1)
     price = numbers.price_label(F.when(F.col("p_retailprice") <= 1500, F.col("p_size") / 4))
     return table(spark, sf_dir, "part").select("p_partkey", price.alias("price"), numbers.support_value(label).alias("support"))
 
 
 @query("""
 SELECT event_id, feature_name, category, support, support_val, nd_specific, evidence FROM (
-  SELECT event_id, substring(event_type || ' feature', 1, 100) AS feature_name, 'other' AS category, CASE WHEN event_id % 2 = 0 THEN 'support' ELSE 'neutral' END AS support,
+  SELECT event_id, substring(event_type || ' feature', 1, 100) AS feature_name, '' AS category, CASE WHEN event_id % 2 = 0 THEN 'supportive' ELSE 'neutral' END AS support,
     (event_id % 2 = 0)::INTEGER AS support_val, event_id % 5 = 0 AS nd_specific, '' AS evidence FROM events WHERE event_id % 3 > 0)
 """)
 def taxonomy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
-    made = F.concat(F.lit('{"features": [{"name": "'), F.col("event_type"), F.lit(' feature", "nd_specific": '), (k % 5 == 0).cast("string"), F.when(k % 2 == 0, ', "support": "support"').otherwise(""), F.lit("}]}"))
+    made = F.concat(F.lit('{"features": [{"name": "'), F.col("event_type"), F.lit(' feature", "nd_specific": '), (k % 5 == 0).cast("string"), F.when(k % 2 == 0, ', "support": "supportive"').otherwise(""), F.lit("}]}"))
     rows = table(spark, sf_dir, "events").select("event_id", F.when(k % 3 > 0, made).otherwise("none").alias("a"))
     return flatten.taxonomy_rows(rows, "a", ["event_id"])
 
