@@ -245,6 +245,25 @@ def test_jaccard_equals_brute_force(spark, docs, cell):
     assert sorted((r.id, r.n_shingles, r.component_id, r.n_links) for r in got) == want
 
 
+@pytest.mark.parametrize("small, block, few", [(3, 4, 16), (3, 4, 2)])
+def test_jaccard_blocks_and_stars(spark, monkeypatch, small, block, few):
+    rng, base, rows = random.Random(3), [f"w{i}" for i in range(120)], []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(120)] = rng.choice("QRS") + str(rng.randrange(9))
+        rows.append((1000 + i, " ".join(w)))
+    rows += [(i, " ".join(base[i // 3 :] + [f"z{j}" for j in range(i // 3)])) for i in range(30)]
+    _, links = brute_links(rows)
+    real, met = jaccard_join.verified, jaccard_join.met
+    monkeypatch.setattr(jaccard_join, "verified", lambda *a: real(*a, block=block, small=small))
+    monkeypatch.setattr(jaccard_join, "met", lambda f, percent: met(f, percent, few))
+    got = jaccard_join.joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), cell=16).collect()
+    assert {r.id: r.n_links for r in got} == {rows[i][0]: len(links[i]) for i in range(len(rows))}
+    root = {r.id: r.component_id for r in got}
+    assert all(root[rows[i][0]] == root[rows[j][0]] for i in links for j in links[i]) and all(root[v] == v <= i for i, v in root.items())
+
+
 def test_jaccard_edge(edge, empty):
     got = sorted(((r.id or 0), r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.joined(edge).collect())
     assert got[0][:2] == (0, 0) and (0, 3, 1, 2) in got and (1, 3, 1, 2) in got and (2, 3, 1, 2) in got and got.count((9, 6, 9, 1)) == 2 and (6, 1, 6, 1) in got and (7, 1, 6, 1) in got

@@ -6,17 +6,19 @@
    equal prefixes and sizes form a *group*. Only groups emit their prefix shingles.
 3. Prefix shingles that occur in one group only are dropped by a pre-aggregated count. For the others, and for groups of
    several classes, members meet in cells: a shingle with many members is split into blocks, a cell for each pair of
-   blocks, so no task holds an unbounded group. In a cell, pairs must pass the size and the positional filter and a
-   bitmap bound on the sets' difference that never loses a pair; what passes is emitted as one row per class with its
-   list of partners.
-4. Partner lists are merged and the sets of the few classes that have partners are read again and compared exactly.
-5. Links between classes give connected components by alternating star contractions.
+   blocks, so no task holds an unbounded group. Pairs must pass the size and the positional filter and a bitmap bound on
+   the sets' difference that never loses a pair. Classes with many possible partners are held together by single edges;
+   pairs are emitted only for classes with few, so their number is in proportion to the rows.
+4. The sets of classes with possible partners are read again and compared exactly: small heaps whole, dense parts of
+   large ones by pairs of blocks, other pairs as stars. This gives each class's number of links, and edges that hold
+   linked classes together.
+5. These edges give connected components by alternating star contractions.
 
 Links are counted between documents: a document's links are its class's other members and the members of linked classes.
 
 Null and empty texts, and texts without words, have an empty set and link with nothing; each is its own component. Texts
 with fewer words than ``k`` have their whole sequence as one shingle. Rows with a null id form classes like others but
-can't name a component; if a component has no id its id is null. Repeated rows are in one class and all are returned.
+can't name a component; if a component has no id its id is null, and a set that only rows without an id have isn't compared. Repeated rows are in one class and all are returned.
 An empty table gives an empty table. Columns that aren't named are not read. Sets are compared as 64-bit hashes.
 """
 
@@ -108,45 +110,90 @@ def digested(rows: DataFrame, levels, k: int, percent: int) -> DataFrame:
     return rows.mapInPandas(run, "id long, n int, digest binary, prefix array<long>, pdigest binary, bits binary" + more)
 
 
-def _bits(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint64).reshape(len(column), BITS // 64)
+CLS = np.dtype([("a", "<u8"), ("b", "<u8")])
+CELL_KEY = ["kind", "token", "lo", "hi"]
 
 
-def candidates_in_cell(f: pd.DataFrame, percent: int) -> Iterator[tuple[bytes, bytes]]:
-    """For each class of a cell the digests of its possible partners (those after it in the cell's order)."""
-    f = f.sort_values(["n", "cls"]).reset_index(drop=True)
-    n, pos, block, gid, bits = f["n"].to_numpy(np.int64), f["pos"].to_numpy(np.int64), f["block"].to_numpy(), f["gid"].to_numpy(), _bits(f["bits"])
-    cross, token = f["cross"].to_numpy()[0], f["kind"].to_numpy()[0] == 0
-    cls = f["cls"].to_numpy()
-    high = np.searchsorted(n, n * 100 // percent, side="right")  # sizes up to n / share
-    for i in range(len(f)):
-        j = np.arange(i + 1, high[i])
-        if not len(j):
-            continue
-        if cross:  # a cell of two blocks: pairs within a block are met in its own cell
-            j = j[block[j] != block[i]]
-        if token:
-            j = j[gid[j] != gid[i]]
-        need = -(-percent * (n[i] + n[j]) // (100 + percent))  # least intersection of linked sets
-        rest = np.minimum(n[i] - pos[i], n[j] - pos[j]) + np.minimum(pos[i], pos[j])
-        j, need = j[rest >= need], need[rest >= need]
-        apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1)
-        j = j[apart <= n[i] + n[j] - 2 * need]
-        if len(j):
-            yield cls[i], b"".join(cls[j])
-
+def cell_pairs(f: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows (i, j) of possible links in whole cells, sorted by cell and size: all cells at once, by distance in the order.
 
-def class_pairs(docs: DataFrame, percent: int, cell: int) -> DataFrame:
-    """(a, b): classes (by digest) whose sets may be linked, each pair once."""
-    classes = written(docs.where("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.first("pdigest").alias("pdigest"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "classes")
+    Sizes rise within a cell, so a row that has met a partner too large for it is done.
+    """
+    n, pos, block, gid = (f[c].to_numpy(np.int64) for c in ("n", "pos", "block", "gid"))
+    bits = np.frombuffer(b"".join(f["bits"]), np.uint64).reshape(len(f), BITS // 64)
+    cell = np.zeros(len(f), np.int64)
+    for c in CELL_KEY:
+        x = f[c].to_numpy()
+        cell[1:] |= x[1:] != x[:-1]
+    cell = np.cumsum(cell)
+    cross, token = (f["lo"] != f["hi"]).to_numpy(), (f["kind"] == 0).to_numpy()
+    live, found = np.arange(len(f)), []
+    for d in range(1, len(f)):
+        live = live[live + d < len(f)]
+        j = live + d
+        near = (cell[j] == cell[live]) & (n[live] * 100 >= percent * n[j])
+        live = live[near]
+        if not len(live):
+            break
+        i, j = live, live + d
+        # a cell of two blocks is for pairs across them; members of one group meet in the group's own cell
+        ok = ~(cross[i] & (block[i] == block[j])) & ~(token[i] & (gid[i] == gid[j]))
+        need = -(-percent * (n[i] + n[j]) // (100 + percent))  # least intersection of linked sets
+        ok &= np.minimum(n[i] - pos[i], n[j] - pos[j]) + np.minimum(pos[i], pos[j]) >= need
+        i, j, need = i[ok], j[ok], need[ok]
+        apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+        ok = apart <= n[i] + n[j] - 2 * need
+        found.append((i[ok], j[ok]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def roots_of(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest node reachable by the edges (x, y)."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        np.minimum.at(new, root[x], low)
+        np.minimum.at(new, root[y], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def met(f: pd.DataFrame, percent: int, few: int = 16) -> pd.DataFrame:
+    """(dense, a, b) for the possible pairs of these cells: a pair of which one class has few partners here stands for
+    itself; classes with many partners are only held together, each by one edge (dense)."""
+    i, j = cell_pairs(f, percent)
+    names, at = np.unique(np.frombuffer(b"".join(f["cls"]), CLS), return_inverse=True)
+    x, y = np.minimum(at[i], at[j]), np.maximum(at[i], at[j])
+    code = np.unique(x * len(names) + y)
+    x, y = code // len(names), code % len(names)
+    partners = np.bincount(np.concatenate([x, y]), minlength=len(names))
+    dense = np.minimum(partners[x], partners[y]) > few
+    root = roots_of(len(names), x[dense], y[dense])
+    tied = np.flatnonzero(root != np.arange(len(names)))
+    a, b = np.concatenate([x[~dense], tied]), np.concatenate([y[~dense], root[tied]])
+    return pd.DataFrame({"dense": np.arange(len(a)) >= (~dense).sum(), "a": [names[t].tobytes() for t in a], "b": [names[t].tobytes() for t in b]})
+
+
+def class_table(docs: DataFrame) -> DataFrame:
+    """One row per distinct set: digest, n, pdigest, prefix, bits, rep (its smallest id), copies."""
+    return written(docs.where("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.first("pdigest").alias("pdigest"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+
+
+def possible_edges(classes: DataFrame, percent: int, cell: int) -> DataFrame:
+    """(dense, a, b): classes (by digest) whose sets may be linked, as pairs or held together by dense edges."""
     members = classes.select(F.col("digest").alias("cls"), "n", "pdigest", "bits")
     groups = classes.groupBy("pdigest", "n").agg(F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("m"))
     tokens = groups.select("pdigest", "n", F.posexplode("prefix").alias("pos", "token"))
     often = groups.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
-    shared = written(tokens.join(often, "token"), "tokens")
-    met = shared.select(F.lit(0).alias("kind"), "token", "pdigest", "n", "pos")
+    shared = written(sized_join(tokens, written(often.select("token"), "often"), ["token"], most=2_000_000), "tokens")
+    at_tokens = shared.select(F.lit(0).alias("kind"), "token", "pdigest", "n", "pos")
     own = groups.where("m > 1").select(F.lit(1).alias("kind"), F.xxhash64("pdigest", "n").alias("token"), "pdigest", "n", F.lit(0).alias("pos"))
-    rows = met.unionByName(own).join(members, ["pdigest", "n"])
+    rows = at_tokens.unionByName(own).join(members, ["pdigest", "n"])
     rows = rows.select("kind", "token", F.xxhash64("pdigest", "n").alias("gid"), "cls", "n", "pos", "bits")
     rows = written(rows, "members")
     sizes = rows.groupBy("kind", "token").agg(F.count(F.lit(1)).alias("g")).where(f"g > {cell}")
@@ -154,93 +201,129 @@ def class_pairs(docs: DataFrame, percent: int, cell: int) -> DataFrame:
     blocks = F.coalesce(F.ceil(F.col("g") / cell), F.lit(1)).cast("int")
     dealt = large.withColumn("blocks", blocks).withColumn("block", F.expr("cast(pmod(xxhash64(cls), blocks) as int)"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select("kind", "token", "gid", "cls", "n", "pos", "bits", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).withColumn("cross", F.expr("lo <> hi"))
-    key = ["kind", "token", "lo", "hi"]
+    dealt = dealt.select("kind", "token", "gid", "cls", "n", "pos", "bits", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
 
     def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in packs(frames, key):
-            out = [x for g in f for x in candidates_in_cell(g, percent)]
-            if out:
-                yield pd.DataFrame(out, columns=["a", "others"])
-
-    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in runs(frames, ["a"]):
-            a = f["a"].iloc[0]
-            others = {o[i : i + 16] for o in f["others"] for i in range(0, len(o), 16)}
-            yield pd.DataFrame({"a": [a] * len(others), "b": list(others)})
+        for f in whole_cells(frames):
+            yield met(f, percent)
 
-    n = partitions(docs.sparkSession)
-    found = dealt.repartition(n, *key).sortWithinPartitions(*key).mapInPandas(meet, "a binary, others binary")
-    return found.repartition(n, "a").sortWithinPartitions("a").mapInPandas(merge, "a binary, b binary")
+    n = partitions(classes.sparkSession)
+    return dealt.repartition(n, *CELL_KEY).sortWithinPartitions(*CELL_KEY, "n", "cls").mapInPandas(meet, "dense boolean, a binary, b binary")
 
 
-def packs(frames: Iterator[pd.DataFrame], key: list[str], size: int = 20_000) -> Iterator[list[pd.DataFrame]]:
-    """Sorted rows as lists of whole groups with two members or more; a group may span batches."""
-    held = None
+def whole_cells(frames: Iterator[pd.DataFrame], key: list[str] = CELL_KEY, size: int = 30_000) -> Iterator[pd.DataFrame]:
+    """Sorted rows in frames of about ``size`` rows that don't split a cell."""
+    held: list[pd.DataFrame] = []
     for f in frames:
-        if not len(f):
+        held.append(f)
+        if sum(map(len, held)) < size:
             continue
-        if held is not None:
-            f = pd.concat([held, f], ignore_index=True)
-        cols = [f[c].to_numpy() for c in key]
-        change = np.zeros(len(f), bool)
-        change[0] = True
-        for c in cols:
-            change[1:] |= c[1:] != c[:-1]
-        starts = np.flatnonzero(change)
-        ends = np.append(starts[1:], len(f))
-        yield [f.iloc[a:b] for a, b in zip(starts[:-1], ends[:-1]) if b - a > 1]
-        held = f.iloc[starts[-1] :]
-    if held is not None and len(held) > 1:
-        yield [held]
-
-
-def linked_pairs(docs: DataFrame, digests: DataFrame, pairs: DataFrame, k: int, percent: int, deal: int = 256) -> DataFrame:
-    """The pairs of classes whose sets really link."""
-    owners = digests.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    wanted = written(wanted.join(owners, "digest").where("id is not null"), "wanted")
+        f = pd.concat(held, ignore_index=True)
+        last = (f[key] == f[key].iloc[-1]).all(axis=1).to_numpy()
+        cut = len(f) - int(np.argmin(last[::-1])) if not last.all() else 0
+        if cut:
+            yield f.iloc[:cut]
+        held = [f.iloc[cut:]]
+    if held:
+        f = pd.concat(held, ignore_index=True)
+        if len(f):
+            yield f
+
+
+def links_in_cell(f: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The members of a cell that have links in it: digest, linked (documents), root (a member they hang together with)."""
+    star = f["lo"].iloc[0] < 0
+    f = f.sort_values(["lead", "n"], ascending=[False, True], kind="stable").reset_index(drop=True)
+    sets = [np.frombuffer(x, np.uint64) for x in f["items"]]
+    n, copies, block = f["n"].to_numpy(np.int64), f["copies"].to_numpy(np.int64), f["block"].to_numpy()
+    cross = f["lo"].iloc[0] != f["hi"].iloc[0]
+    linked, xs, ys = np.zeros(len(f), np.int64), [], []
+    for i in range(1 if star else len(f)):
+        j = np.arange(i + 1, len(f))
+        j = j[(n[j] * percent <= n[i] * 100) & (n[i] * percent <= n[j] * 100)]
+        if cross and not star:
+            j = j[block[j] != block[i]]
+        if not len(j):
+            continue
+        theirs = np.concatenate([sets[k] for k in j])
+        at = np.minimum(np.searchsorted(sets[i], theirs), n[i] - 1)
+        starts = np.concatenate([[0], np.cumsum(n[j])[:-1]])
+        both = np.add.reduceat((sets[i][at] == theirs).astype(np.int64), starts)
+        j = j[100 * both >= percent * (n[i] + n[j] - both)]
+        linked[i] += copies[j].sum()
+        linked[j] += copies[i]
+        xs.append(np.full(len(j), i))
+        ys.append(j)
+    if not xs:
+        return pd.DataFrame({"digest": [], "linked": [], "root": []})
+    root = roots_of(len(f), np.concatenate(xs), np.concatenate(ys))
+    some = np.flatnonzero(linked)
+    names = f["digest"].to_numpy()
+    return pd.DataFrame({"digest": names[some], "linked": linked[some], "root": names[root[some]]})
+
+
+def verified(docs: DataFrame, classes: DataFrame, edges: DataFrame, k: int, percent: int, block: int = 32, small: int = 64, most_bytes: int = 16 << 20) -> DataFrame:
+    """(digest, linked, root) for each class and cell with links: exact comparisons.
+
+    Classes that hang together and are few are one cell, to which each set is sent once. In larger heaps dense parts are
+    dealt into blocks of about ``block`` classes (fewer if their sets are large), and each pair of blocks is a cell; other
+    pairs are compared as stars of at most ``small`` partners. Each pair is compared in exactly one cell.
+    """
+    spark = docs.sparkSession
+
+    def heaps(e: DataFrame, name: str) -> DataFrame:
+        got = components(e.select("a", "b"))
+        both = got.select(F.col("node").alias("digest"), F.col("root").alias("comp")).unionByName(got.select(F.col("root").alias("digest"), F.col("root").alias("comp")).distinct())
+        return written(both, name)
+
+    def sizes(members: DataFrame, name: str) -> DataFrame:
+        return written(members.join(light, "digest").groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size")), name)
+
+    light = classes.select("digest", "n", "rep", "copies")
+    inside = heaps(edges, "hang")
+    wanted = written(inside.join(light, "digest").where("rep is not null"), "wanted")
+    is_small = (F.col("m") <= small) & (F.col("size") * 8 <= most_bytes)
+    placed = written(sized_join(inside, sizes(inside, "heap_sizes").select("comp", is_small.alias("whole")), ["comp"]), "placed")
+    one = placed.where("whole").select(F.col("comp").alias("cell"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(False).alias("lead"), F.lit(0).alias("block"), "digest")
+    large = written(edges.join(placed.where("not whole").select(F.col("digest").alias("a")), "a", "left_semi"), "large_edges")
+    packs = heaps(large.where("dense"), "packs")
+    per = sizes(packs, "pack_sizes").select("comp", F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("size") * 8 / most_bytes)).cast("int").alias("blocks"))
+    dealt = sized_join(packs, per, ["comp"]).withColumn("block", F.expr("cast(pmod(xxhash64(digest), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dense = dealt.select(F.col("comp").alias("cell"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.lit(False).alias("lead"), "block", "digest")
+    pa, pb = (packs.select(F.col("digest").alias(c), F.col("comp").alias("p" + c)) for c in ("a", "b"))
+    pairs = large.where("not dense").join(pa, "a", "left").join(pb, "b", "left").where("pa is null or pb is null or pa <> pb").select("a", "b")
+    pairs = written(pairs.join(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / small).cast("int").alias("parts")), "a").withColumn("hi", F.expr("cast(pmod(xxhash64(b), parts) as int)")), "pairs")
+    rays = pairs.select(F.col("a").alias("cell"), F.lit(-1).alias("lo"), "hi", F.lit(False).alias("lead"), F.lit(0).alias("block"), F.col("b").alias("digest"))
+    leads = pairs.select(F.col("a").alias("cell"), F.lit(-1).alias("lo"), "hi", F.lit(True).alias("lead"), F.lit(0).alias("block"), F.col("a").alias("digest")).distinct()
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in slices(frames, "text"):
             got = shingle_sets(f["text"].tolist(), k)
             yield pd.DataFrame({"digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in got], "want": f["want"].array, "items": [s.tobytes() for s in got]})
 
-    texts = sized_join(docs, wanted.select("id", F.col("digest").alias("want")), ["id"])
+    texts = sized_join(docs, wanted.select(F.col("rep").alias("id"), F.col("digest").alias("want")), ["id"])
     full = texts.mapInPandas(sets, "digest binary, want binary, items binary").where("digest = want")
-    full = written(full.select("digest", "items").dropDuplicates(["digest"]), "sets")
-    degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("d"))
-    salted = pairs.join(degree, "a").withColumn("parts", F.ceil(F.col("d") / deal).cast("int")).withColumn("part", F.expr("cast(pmod(xxhash64(b), parts) as int)"))
-    right = salted.join(full.withColumnsRenamed({"digest": "b"}), "b").select("a", "part", F.col("b").alias("b"), "items")
-    left = degree.withColumn("part", F.explode(F.expr(f"sequence(0, cast(ceil(d / {deal}) as int) - 1)"))).join(full.withColumnsRenamed({"digest": "a"}), "a").select("a", "part", F.lit(None).cast("binary").alias("b"), "items")
+    full = written(full.groupBy("digest").agg(F.first("items").alias("items")), "sets")
+    rows = one.unionByName(dense).unionByName(rays).unionByName(leads).join(light.select("digest", "n", "copies"), "digest").join(full, "digest")
+    key = ["cell", "lo", "hi"]
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, mine = None, None
-        for f in frames:
-            out = []
-            for r in f.itertuples(index=False):
-                if r.b is None:
-                    now, mine = (r.a, r.part), np.frombuffer(r.items, np.uint64)
-                    continue
-                assert now == (r.a, r.part)
-                theirs = np.frombuffer(r.items, np.uint64)
-                at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
-                both = int((mine[at] == theirs).sum())
-                if 100 * both >= percent * (len(mine) + len(theirs) - both):
-                    out.append((r.a, r.b))
-            yield pd.DataFrame(out, columns=["a", "b"])
-
-    both = left.unionByName(right).repartition(partitions(docs.sparkSession), "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return both.mapInPandas(compare, "a binary, b binary")
+        for f in runs(frames, key):
+            if len(f) > 1:
+                yield links_in_cell(f, percent)
+
+    return rows.repartition(partitions(spark), *key).sortWithinPartitions(*key).mapInPandas(compare, "digest binary, linked long, root binary")
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges`` (columns a and b, longs): root is the smallest node reachable.
+    """(node, root) for every node of ``edges`` (columns a and b) but the roots: root is the smallest node reachable.
 
     Alternating large and small stars; every round is aggregates and joins, and the round's edges are written.
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    for i in range(most):
+    sign = [F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")]
+    now = edges.agg(*sign).first()
+    for i in range(most if now["n"] else 0):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: every larger neighbour is tied to the smallest one
@@ -251,11 +334,12 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         small = large.join(low, "u")
         nxt = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         nxt = written(nxt, f"edges{i}")
-        if nxt.count() == edges.count() and not nxt.exceptAll(edges).take(1):
+        edges, before, now = nxt, now, nxt.agg(*sign).first()
+        if now == before:  # nothing moved
             break
-        edges = nxt
     else:
-        raise RuntimeError("components did not settle")
+        if now["n"]:
+            raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -266,16 +350,15 @@ def joined(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *carry)
     levels = spark.sparkContext.broadcast(sketch(rows, k))  # one byte for each slot
     digests = written(digested(rows, levels, k, percent), "digests")
-    pairs = written(class_pairs(digests, percent, cell), "pairs")
-    links = written(linked_pairs(rows.select("id", "text"), digests, pairs, k, percent), "links")
     light = digests.select("id", "n", "digest", *carry)
-    classes = written(light.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "class_sizes")
-    named = links.join(classes.select(F.col("digest").alias("a"), F.col("rep").alias("ra"), F.col("copies").alias("ca")), "a").join(classes.select(F.col("digest").alias("b"), F.col("rep").alias("rb"), F.col("copies").alias("cb")), "b")
-    named = written(named.select("ra", "rb", "ca", "cb").where("ra is not null and rb is not null"), "named")
-    roots = components(named.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    ends = named.select(F.col("ra").alias("rep"), F.col("cb").alias("c")).unionByName(named.select(F.col("rb").alias("rep"), F.col("ca").alias("c")))
-    degree = ends.groupBy("rep").agg(F.sum("c").alias("linked"))
-    per_class = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    per_class = written(per_class.select("digest", F.coalesce("root", "rep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "result")
+    classes = class_table(digests)
+    edges = written(possible_edges(classes, percent, cell).distinct(), "met")
+    links = written(verified(rows.select("id", "text"), classes, edges, k, percent), "links")
+    roots = components(links.select(F.col("digest").alias("a"), F.col("root").alias("b")))
+    degree = links.groupBy("digest").agg(F.sum("linked").alias("linked"))
+    named = classes.select("digest", "rep", "copies").join(roots.withColumnRenamed("node", "digest"), "digest", "left").join(degree, "digest", "left")
+    named = written(named.select("digest", "rep", "copies", F.coalesce("root", "digest").alias("root"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "named")
+    least = written(named.where("n_links >= copies").groupBy("root").agg(F.min("rep").alias("least")), "least")  # classes with links
+    per_class = written(sized_join(named, least, ["root"], "left").select("digest", F.coalesce("least", "rep").alias("component_id"), "n_links"), "result")
     out = light.join(per_class, "digest", "left")
     return out.select("id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), *carry)
