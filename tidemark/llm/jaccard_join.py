@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -180,19 +181,20 @@ def met(f: pd.DataFrame, percent: int, few: int = 16) -> pd.DataFrame:
 
 
 def class_table(docs: DataFrame) -> DataFrame:
-    """One row per distinct set: digest, n, pdigest, prefix, bits, rep (its smallest id), copies."""
-    return written(docs.where("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.first("pdigest").alias("pdigest"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    """One row per distinct set: digest, n, pdigest, bits, rep (its smallest id), copies."""
+    return written(docs.where("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.first("pdigest").alias("pdigest"), F.first("bits").alias("bits"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
 
 
-def possible_edges(classes: DataFrame, percent: int, cell: int) -> DataFrame:
+def possible_edges(docs: DataFrame, classes: DataFrame, percent: int, cell: int) -> DataFrame:
     """(dense, a, b): classes (by digest) whose sets may be linked, as pairs or held together by dense edges."""
     members = classes.select(F.col("digest").alias("cls"), "n", "pdigest", "bits")
-    groups = classes.groupBy("pdigest", "n").agg(F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("m"))
+    groups = docs.where("n > 0").groupBy("pdigest", "n").agg(F.first("prefix").alias("prefix"))  # the only shuffle of whole prefixes
     tokens = groups.select("pdigest", "n", F.posexplode("prefix").alias("pos", "token"))
     often = groups.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
     shared = written(sized_join(tokens, written(often.select("token"), "often"), ["token"], most=2_000_000), "tokens")
     at_tokens = shared.select(F.lit(0).alias("kind"), "token", "pdigest", "n", "pos")
-    own = groups.where("m > 1").select(F.lit(1).alias("kind"), F.xxhash64("pdigest", "n").alias("token"), "pdigest", "n", F.lit(0).alias("pos"))
+    several = classes.groupBy("pdigest", "n").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    own = several.select(F.lit(1).alias("kind"), F.xxhash64("pdigest", "n").alias("token"), "pdigest", "n", F.lit(0).alias("pos"))
     rows = at_tokens.unionByName(own).join(members, ["pdigest", "n"])
     rows = rows.select("kind", "token", F.xxhash64("pdigest", "n").alias("gid"), "cls", "n", "pos", "bits")
     rows = written(rows, "members")
@@ -262,12 +264,13 @@ def links_in_cell(f: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"digest": names[some], "linked": linked[some], "root": names[root[some]]})
 
 
-def verified(docs: DataFrame, classes: DataFrame, edges: DataFrame, k: int, percent: int, block: int = 32, small: int = 64, most_bytes: int = 16 << 20) -> DataFrame:
+def verified(docs: DataFrame, classes: DataFrame, edges: DataFrame, k: int, percent: int, block: int = 128, small: int = 64, most_bytes: int = 16 << 20) -> DataFrame:
     """(digest, linked, root) for each class and cell with links: exact comparisons.
 
     Classes that hang together and are few are one cell, to which each set is sent once. In larger heaps dense parts are
     dealt into blocks of about ``block`` classes (fewer if their sets are large), and each pair of blocks is a cell; other
-    pairs are compared as stars of at most ``small`` partners. Each pair is compared in exactly one cell.
+    pairs are compared as stars of at most ``small`` partners. Each pair is compared in exactly one cell. Cells get the
+    compressed whole texts, which are smaller than their sets of hashes, and make the sets again.
     """
     spark = docs.sparkSession
 
@@ -296,21 +299,23 @@ def verified(docs: DataFrame, classes: DataFrame, edges: DataFrame, k: int, perc
     rays = pairs.select(F.col("a").alias("cell"), F.lit(-1).alias("lo"), "hi", F.lit(False).alias("lead"), F.lit(0).alias("block"), F.col("b").alias("digest"))
     leads = pairs.select(F.col("a").alias("cell"), F.lit(-1).alias("lo"), "hi", F.lit(True).alias("lead"), F.lit(0).alias("block"), F.col("a").alias("digest")).distinct()
 
-    def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in slices(frames, "text"):
             got = shingle_sets(f["text"].tolist(), k)
-            yield pd.DataFrame({"digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in got], "want": f["want"].array, "items": [s.tobytes() for s in got]})
+            same = [xxhash.xxh3_128_digest(s.tobytes()) == w for s, w in zip(got, f["want"])]  # ids may repeat with other texts
+            f = f[same]
+            yield pd.DataFrame({"digest": f["want"].array, "packed": [zstandard.compress(t.encode("utf-8", "surrogatepass")) for t in f["text"]]})
 
     texts = sized_join(docs, wanted.select(F.col("rep").alias("id"), F.col("digest").alias("want")), ["id"])
-    full = texts.mapInPandas(sets, "digest binary, want binary, items binary").where("digest = want")
-    full = written(full.groupBy("digest").agg(F.first("items").alias("items")), "sets")
+    full = texts.mapInPandas(pack, "digest binary, packed binary").groupBy("digest").agg(F.first("packed").alias("packed"))
     rows = one.unionByName(dense).unionByName(rays).unionByName(leads).join(light.select("digest", "n", "copies"), "digest").join(full, "digest")
     key = ["cell", "lo", "hi"]
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in runs(frames, key):
             if len(f) > 1:
-                yield links_in_cell(f, percent)
+                sets = shingle_sets([zstandard.decompress(x).decode("utf-8", "surrogatepass") for x in f["packed"]], k)
+                yield links_in_cell(f.assign(items=[s.tobytes() for s in sets]), percent)
 
     return rows.repartition(partitions(spark), *key).sortWithinPartitions(*key).mapInPandas(compare, "digest binary, linked long, root binary")
 
@@ -352,7 +357,7 @@ def joined(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
     digests = written(digested(rows, levels, k, percent), "digests")
     light = digests.select("id", "n", "digest", *carry)
     classes = class_table(digests)
-    edges = written(possible_edges(classes, percent, cell).distinct(), "met")
+    edges = written(possible_edges(digests, classes, percent, cell).distinct(), "met")
     links = written(verified(rows.select("id", "text"), classes, edges, k, percent), "links")
     roots = components(links.select(F.col("digest").alias("a"), F.col("root").alias("b")))
     degree = links.groupBy("digest").agg(F.sum("linked").alias("linked"))
