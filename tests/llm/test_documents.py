@@ -204,6 +204,24 @@ def test_licenses(spark, edge, empty):
     assert license_scan.scan(edge).count() == len(EDGE) and license_scan.scan(empty).count() == 0
 
 
+def test_licenses_do_not_depend_on_wrapping(spark):
+    import textwrap
+
+    heads = {"MIT": "MIT License\n\nCopyright (c) 2021 Some One <one@example.org>\n\n", "BSD-3-Clause": "Copyright 2001-2004 The Authors.\nAll rights reserved.\n\n", "BSD-2-Clause": "Copyright © The Holders, all rights reserved\n\n", "ISC": "ISC License\n\nCopyright (c) [year] [fullname]\n\n"}
+    bodies = {name: text for name, text in TEXTS if not text.split("\n")[0].endswith(("License", "(MIT)"))}
+    bodies["BSD-2-Clause"] = bodies["BSD-2-Clause"].replace("COPYRIGHT HOLDER ", "COPYRIGHT OWNER ")
+    rows = [(name, f"{width} {name}", heads[name] + "\n\n".join(textwrap.fill(p, width, break_on_hyphens=False) for p in bodies[name].split("\n\n"))) for name in heads for width in (*range(24, 90), 10_000)]
+    assert any(line.lower().startswith(("copyright notice", "copyright holder")) for _, _, t in rows for line in t.split("\n"))
+    # wrapped as it is published
+    end = """INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE\nAUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER\nLIABILITY,"""
+    mit = re.sub(r"\s+", " ", bodies["MIT"])
+    rows.append(("MIT", "published", "MIT License\n\nCopyright (c) 2021 A\n\n" + mit.replace(re.sub(r"\s+", " ", end), end)))
+    assert "\nAUTHORS OR" in rows[-1][2]
+    rows += [(None, "cut", "Copyright (c) 2021 A\n\n" + "\n".join(x for x in bodies["MIT"].split("\n") if not x.startswith("COPYRIGHT"))), (None, "more", bodies["MIT"] + "\ncopyright holders may sue")]
+    got = license_scan.scan(spark.createDataFrame([r[1:] for r in rows], "doc_id string, text string")).collect()
+    assert {r.id: r.license for r in got} == {r[1]: r[0] for r in rows}
+
+
 def brute_links(rows):
     sets = []
     for _, t in rows:

@@ -1,8 +1,11 @@
 """Licence scans by canonical digest lookup, in DataFrame operations only.
 
 A text is made canonical: lower case; lines that only state a copyright go; punctuation, symbols and white space become
-single spaces; equivalent spellings become one. The digest of the whole canonical text is joined with the digests of
-known licence texts; each line is looked up in the same way among known one-line notices. A match means that the entire
+single spaces; equivalent spellings become one. Only real statements go (a copyright with a sign, a year or a place for
+one, or with all rights reserved), never lines of a licence's body that happen to begin with the word, and spellings
+count as equal also over the end of a line: a match doesn't depend on where a text is wrapped.
+
+The digest of the whole canonical text is joined with the digests of known licence texts; each line is looked up in the same way among known one-line notices. A match means that the entire
 text (or the entire line) is that licence; a text that merely quotes a part of one doesn't match.
 
 Nulls and empty texts have the digest of no text and match nothing. Each row is scanned by itself: repeated rows and
@@ -19,8 +22,11 @@ from pyspark.sql import functions as F
 
 from .license_texts import NOTICES, SPELLINGS, TEXTS
 
-#: Lines that state a copyright and nothing else that a licence says.
-COPYRIGHT = r"^[ \t]*(copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
+_YEAR = r"(\d{4}|[\[<{(]\s?(yyyy|year|xxxx|date|dates)\b)"
+#: Lines that state a copyright and nothing else that a licence says: with a sign, a year or a place for one, or all rights reserved.
+COPYRIGHT = rf"^[ \t]*(copyright[ \t:]*(\(c\)|©|&copy;|{_YEAR})[^\n]*|copyright\b[^\n]*\ball rights reserved[^\w\n]*|(\(c\)|©)[ \t]*(copyright\b|{_YEAR})[^\n]*|all rights reserved[^\w\n]*)$"
+#: What the SQL takes for such lines. It is as it was: the two agree on texts in which no other line begins so.
+SQL_COPYRIGHT = r"^[ \t]*(copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
 #: All that isn't part of a word, on one line.
 BETWEEN = r"[\x00-\x09\x0B-\x20\p{P}\p{S}\p{Z}]+"
 KNOWN = "kind string, digest string, length int, license string"
@@ -50,11 +56,16 @@ def one_line(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"[ \n]+", " "), r"^ | $", "")
 
 
+def unwrapped(c: Column) -> Column:
+    """A canonical form on one line, with the spellings that the end of a line had parted."""
+    return respelled(one_line(c))
+
+
 def known_digests(spark: SparkSession) -> DataFrame:
     """(kind, digest, length, license) of all known texts and notices."""
     rows = [("text", name, t) for name, t in TEXTS] + [("line", name, t) for name, t in NOTICES]
     got = canonical(spark.createDataFrame(rows, "kind string, license string, text string"), F.col("text"), "kind", "license")
-    got = got.select("kind", "license", one_line(F.col("c")).alias("c"))
+    got = got.select("kind", "license", unwrapped(F.col("c")).alias("c"))
     return got.groupBy("kind", F.sha2("c", 256).alias("digest"), F.length("c").alias("length")).agg(F.min("license").alias("license"))
 
 
@@ -68,19 +79,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     lines = F.transform(F.split("c", "\n"), lambda x: F.trim(x))
     brief = F.filter(lines, lambda x: (F.length(x) <= longest) & (x != ""))
     notices = known.where("kind = 'line'").select("digest", "license")
-    rows = rows.select("id", F.sha2(one_line(F.col("c")), 256).alias("canonical_sha256"), F.transform(brief, lambda x: F.sha2(x, 256)).alias("lines"))
+    rows = rows.select("id", F.sha2(one_line(F.col("c")), 256).alias("canonical_sha256"), F.sha2(unwrapped(F.col("c")), 256).alias("digest"), F.transform(brief, lambda x: F.sha2(x, 256)).alias("lines"))
     # a row's few lines are looked up in place, in a literal map of the fixed notices
     pairs = [F.lit(x) for r in notices.collect() for x in (r["digest"], r["license"])]
     table = F.create_map(*pairs)
     rows = rows.withColumn("hits", F.filter(F.transform("lines", lambda d: F.element_at(table, d)), lambda x: x.isNotNull()))
-    texts = known.where("kind = 'text'").select(F.col("digest").alias("canonical_sha256"), "license")
-    out = rows.join(F.broadcast(texts), "canonical_sha256", "left")
+    texts = known.where("kind = 'text'").select("digest", "license")
+    out = rows.join(F.broadcast(texts), "digest", "left")
     found = F.array_join(F.array_sort(F.array_distinct("hits")), ",")
     return out.select("id", "canonical_sha256", "license", F.when(found != "", found).alias("notices"), F.size("hits").cast("long").alias("n_notice_lines"))
 
 
 def _duck(text: str) -> str:
-    out = f"regexp_replace(lower({text}), '(?m){COPYRIGHT}', '', 'g')"
+    out = f"regexp_replace(lower({text}), '(?m){SQL_COPYRIGHT}', '', 'g')"
     out = f"regexp_replace({out}, '{BETWEEN}', ' ', 'g')"
     for variant, word in _ONE.items():
         out = f"regexp_replace({out}, '(^|[ \\n]){variant}($|[ \\n])', '\\1{word}\\2', 'g')"
