@@ -27,9 +27,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that score below LEAST_SCORE; the model learns from the labelled ones among ``docs``."""
+    """Without the documents that score below LEAST_SCORE. The model learns from the labelled ones of the whole table of
+    ``sf_dir``, since earlier stages leave too few bad ones to learn from."""
     rows = keyed(docs)
-    got = scored(rows, train(docs, table(spark, sf_dir, "labels")), carry=tuple(ROW_KEY))
+    model = train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    got = scored(rows, model, carry=tuple(ROW_KEY))
     return without(rows, got.where(F.col("score") < LEAST_SCORE), "low_scores")
 
 

@@ -131,6 +131,13 @@ def test_classifier(spark, sf, edge, empty):
     assert {r.score for r in quality_knn.scored(edge, none).collect()} == {0.0, 0.5}
 
 
+def test_labels_without_texts_take_no_place_in_the_sample(spark):
+    docs = spark.createDataFrame([(i, f"some words of text {i}" if i >= 100 else None) for i in range(50, 200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    model = quality_knn.train(docs, labels, sample=20)
+    assert sorted(model.labels) == [0] * 20 + [1] * 20
+
+
 def test_votes_are_exact_cosines(docs):
     texts = [t for t in texts_of(docs).values()][:60]
     model = quality_knn.fit(texts[:40], [i % 2 for i in range(40)])

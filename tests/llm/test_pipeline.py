@@ -61,6 +61,17 @@ def test_stages(spark, sf, tmp_path):
     assert sorted(tuple(r) for r in got) == sorted(want)
 
 
+def test_classifier_stage_learns_from_the_whole_table(spark, sf):
+    big = sf.replace("0.001", "0.01")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{big}/labels.parquet").collect()}
+    held = [i for i in labels if zlib.crc32(str(i).encode()) % 5 == 0]  # no training row among them
+    docs = spark.read.parquet(f"{big}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.quality_classifier(spark, docs.where(docs.doc_id.isin(held)), big).collect()}
+    bad = {i for i in held if labels[i] == 0}
+    good = set(held) - bad
+    assert len(bad) > 4 and len(bad & kept) <= 0.1 * len(bad) and len(good & kept) >= 0.97 * len(good)
+
+
 def test_run_and_empty_input(spark, sf, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{sf}/{t}.parquet").where("false").write.parquet(f"{tmp_path}/{t}.parquet")

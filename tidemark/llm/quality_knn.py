@@ -108,12 +108,13 @@ def held_out(id_col: Column, folds: int = 5) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fit on at most ``sample`` training rows of each label, chosen by a seeded hash of their ids."""
+    """Fit on at most ``sample`` training rows of each label that have a text, chosen by a seeded hash of their ids."""
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     usable = usable.where(~held_out(F.col("id"))).groupBy("id").agg(F.min("y").alias("y"))
+    usable = usable.join(texts.select("id").distinct(), "id", "left_semi")  # labels without a text take no place in the sample
     mixed = F.xxhash64(F.lit(SEED), "id")
     chosen = usable.where("y = 0").orderBy(mixed, "id").limit(sample).unionByName(usable.where("y = 1").orderBy(mixed, "id").limit(sample))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     got = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
     rows = sorted(got.collect())  # at most two samples
     return fit([r["text"] for r in rows], [r["y"] for r in rows])
