@@ -337,6 +337,36 @@ def test_schedule_deviates_by_less_than_a_block():
             assert all(abs(had[s] * parts - w[s] * (t + 1)) < parts for s in w)
 
 
+@pytest.mark.parametrize("targets, blocks", [
+    ({"a": 0.9, "b": 0.1}, {"a": 9_500, "b": 900}), ({"a": 0.9995, "b": 0.0005}, {"a": 30_000, "b": 40}), ({"hot": 0.6} | {f"s{i}": 0.01 for i in range(40)}, {"hot": 60_000} | {f"s{i}": 900 + i for i in range(40)}),
+    ({f"r{i}": math.sqrt(i * i * 37 + 1) for i in range(25)}, {f"r{i}": 7 + i * i for i in range(25)}), ({"big": 10**30, "odd": 1}, {"big": 50, "odd": 2}),
+])
+def test_schedule_keeps_the_requested_weights(targets, blocks):
+    from fractions import Fraction
+
+    plan = pfair_mix.phases(blocks, targets)
+    assert Counter({s: sum(p["blocks"] for p in plan if p["src"] == s) for s in blocks}) == Counter(blocks)
+    taken, left = set(), dict(blocks)
+    for phase in range(max(p["phase"] for p in plan) + 1):
+        parts = [p for p in plan if p["phase"] == phase]
+        at, start = {}, parts[0]["start"]
+        for p in parts:
+            assert p["first"] == blocks[p["src"]] - left[p["src"]]
+            for j in range(p["blocks"]):
+                at[j // p["parts"] * p["length"] + p["slots"][j % p["parts"]]] = p["src"]
+        assert sorted(at) == list(range(len(at))) and not taken & {start + t for t in at}
+        taken |= {start + t for t in at}
+        total = sum(Fraction(str(targets[s])) for s in left)
+        due = {s: Fraction(str(targets[s])) / total for s in left}
+        had = Counter()
+        for t in range(len(at)):
+            had[at[t]] += 1
+            if t % 97 == 0 or t + 1 == len(at):
+                assert all(abs(had[s] - w * (t + 1)) < 1 for s, w in due.items())
+        left = {s: n - had[s] for s, n in left.items() if n > had[s]}
+    assert not left and taken == set(range(sum(blocks.values())))
+
+
 def test_mixing(docs, edge, empty):
     for df, n in ((docs, docs.count()), (edge, len(EDGE))):
         got = pfair_mix.scheduled(df.select("doc_id", "source"), block=2).collect()
