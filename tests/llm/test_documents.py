@@ -115,6 +115,27 @@ def test_rules_edge(edge, empty):
     assert quality_rules.judged(empty).count() == 0
 
 
+def test_rules_reject_the_extremes_of_each_statistic(spark):
+    rng = random.Random(4)
+    many = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(4000)]
+    clean = [" ".join(rng.sample(many, 300)) for _ in range(300)]
+    clean += ["\n".join([*(rng.sample(many, 60)), "again", "again"]) for _ in range(5)]  # one line twice
+    few, lines, seen = many[:16], many[:2], set()
+    while len(lines) < 200:  # one-word lines without a repeated three-word window
+        w = rng.choice([w for w in few if (*lines[-2:], w) not in seen])
+        seen.add((*lines[-2:], w))
+        lines.append(w)
+    half = rng.sample(many, 500)
+    longer = [w * 3 for w in rng.sample(many, 300)]
+    signs = [w[:4] + "#" for w in rng.sample(many, 300)]
+    bad = ["\n".join(lines), " ".join(half[:122] + half[:122] + half[122:378]), " ".join(longer), " ".join(signs)]
+    words, _, _, dup, repeat = brute_stats(bad[0])
+    assert dup >= 0.9 * words and not repeat and 48 * brute_stats(bad[1])[0] < 100 * brute_stats(bad[1])[4] < 50 * brute_stats(bad[1])[0]
+    rows = [(i, t, "en", "a") for i, t in enumerate(clean + bad)]
+    got = {r.id: r for r in quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i].kept for i in range(len(clean))) and not any(got[len(clean) + i].kept or got[len(clean) + i].base_failed for i in range(len(bad)))
+
+
 def test_classifier(spark, sf, edge, empty):
     big = sf.replace("0.001", "0.01")
     got = QUERIES["op1_quality_knn"](spark, big).collect()
