@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tidemark.llm import bpe_codec, jaccard_join, license_scan, pfair_mix, quality_knn, quality_rules, sharding, textnp, token_counts
-from tidemark.llm.license_texts import TEXTS
+from tidemark.llm.base import sized_join
+from tidemark.llm.license_texts import FULL, TEXTS
 from tidemark.llm.queries import QUERIES, SQL, tokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -250,6 +251,26 @@ def test_licenses_do_not_depend_on_wrapping(spark):
     assert {r.id: r.license for r in got} == {r[1]: r[0] for r in rows}
 
 
+def test_full_licenses_and_texts_of_the_caller(spark, monkeypatch):
+    import textwrap
+
+    rows = []
+    for file, name in FULL.items():
+        text = open(f"/usr/share/common-licenses/{file}", encoding="utf-8").read()
+        rows += [(f"{file} as published", text, name), (f"{file} cut", text[: len(text) // 2], None)]
+        rows.append((f"{file} re-wrapped", "\n\n".join(textwrap.fill(p, 61, break_on_hyphens=False, break_long_words=False) if "opyright" not in p else p for p in text.split("\n\n")), name))
+    apache = open("/usr/share/common-licenses/Apache-2.0", encoding="utf-8").read()
+    rows.append(("no appendix", apache[: apache.index("   APPENDIX")].replace("http:", "https:"), "Apache-2.0"))
+    rows += [("own", "Do as you LIKE\nwith this.", "Own-1.0"), ("null", None, None), ("empty", " \n", None)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id string, text string")
+    own = spark.createDataFrame([("Own-1.0", "do as you like with this"), ("Own-2.0", "Do as you like, with this!"), ("None", None), ("None", "."), (None, "x")], "license string, text string")
+    for most in (200_000, 0):  # broadcast or shuffled
+        monkeypatch.setattr(license_scan, "sized_join", lambda *a, most=most: sized_join(*a, most=most))
+        got = license_scan.scan(docs, known_texts=own).collect()
+        assert {r.id: r.license for r in got} == {r[0]: r[2] for r in rows} and len(got) == len(rows)
+    assert {r.id for r in license_scan.scan(docs).collect() if r.license} == {r[0] for r in rows if r[2]} - {"own"}
+
+
 def brute_links(rows):
     sets = []
     for _, t in rows:

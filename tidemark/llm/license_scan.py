@@ -10,7 +10,8 @@ text (or the entire line) is that licence; a text that merely quotes a part of o
 
 Nulls and empty texts have the digest of no text and match nothing. Each row is scanned by itself: repeated rows and
 null ids stay as they are. An empty table gives an empty table. Columns that aren't named are not read. The table of
-known digests has a row per known text, and is broadcast.
+known digests has a row per known text; a caller can add texts of their own, and it is broadcast as long as a count shows
+it to be small.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .license_texts import NOTICES, SPELLINGS, TEXTS
+from .base import sized_join, written
+from .license_texts import NOTICES, SPELLINGS, TEXTS, full_texts
 
 _YEAR = r"(\d{4}|[\[<{(]\s?(yyyy|year|xxxx|date|dates)\b)"
 #: Lines that state a copyright and nothing else that a licence says: with a sign, a year or a place for one, or all rights reserved.
@@ -61,19 +63,28 @@ def unwrapped(c: Column) -> Column:
     return respelled(one_line(c))
 
 
-def known_digests(spark: SparkSession) -> DataFrame:
-    """(kind, digest, length, license) of all known texts and notices."""
-    rows = [("text", name, t) for name, t in TEXTS] + [("line", name, t) for name, t in NOTICES]
-    got = canonical(spark.createDataFrame(rows, "kind string, license string, text string"), F.col("text"), "kind", "license")
-    got = got.select("kind", "license", unwrapped(F.col("c")).alias("c"))
+def known_digests(known: DataFrame) -> DataFrame:
+    """(kind, digest, length, license) of known texts and notices, (kind, license, text). Nulls and empty texts are none."""
+    got = canonical(known.where("text is not null and license is not null"), F.col("text"), "kind", "license")
+    got = got.select("kind", "license", unwrapped(F.col("c")).alias("c")).where("c <> ''")
     return got.groupBy("kind", F.sha2("c", 256).alias("digest"), F.length("c").alias("length")).agg(F.min("license").alias("license"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known_texts: DataFrame | None = None) -> DataFrame:
     """One row per document: id, canonical_sha256, license (of the entire text or null), notices (sorted licences of its
-    notice lines, joined by commas, or null), n_notice_lines."""
+    notice lines, joined by commas, or null), n_notice_lines.
+
+    ``known_texts``: whole texts (license, text) that are known besides the shipped ones. Of licences with equal
+    canonical texts the first by name is given.
+    """
     spark = docs.sparkSession
-    known = spark.createDataFrame(known_digests(spark).collect(), KNOWN)  # a row per known text
+    shipped = [("text", name, t) for name, t in [*TEXTS, *full_texts()]] + [("line", name, t) for name, t in NOTICES]
+    # a row per shipped text
+    known = spark.createDataFrame(known_digests(spark.createDataFrame(shipped, "kind string, license string, text string")).collect(), KNOWN)
+    texts = known.where("kind = 'text'").select("digest", "license")
+    if known_texts is not None:
+        more = known_digests(known_texts.select(F.lit("text").alias("kind"), F.col("license").cast("string").alias("license"), "text"))
+        texts = written(texts.unionByName(more.select("digest", "license")).groupBy("digest").agg(F.min("license").alias("license")), "known")
     longest = max(len(t) for _, t in NOTICES) + 64  # canonical notices are no longer than this; longer lines can't match
     rows = canonical(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), F.coalesce("text", F.lit("")), "id")
     lines = F.transform(F.split("c", "\n"), lambda x: F.trim(x))
@@ -84,8 +95,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     pairs = [F.lit(x) for r in notices.collect() for x in (r["digest"], r["license"])]
     table = F.create_map(*pairs)
     rows = rows.withColumn("hits", F.filter(F.transform("lines", lambda d: F.element_at(table, d)), lambda x: x.isNotNull()))
-    texts = known.where("kind = 'text'").select("digest", "license")
-    out = rows.join(F.broadcast(texts), "digest", "left")
+    out = sized_join(rows, texts, ["digest"], "left")
     found = F.array_join(F.array_sort(F.array_distinct("hits")), ",")
     return out.select("id", "canonical_sha256", "license", F.when(found != "", found).alias("notices"), F.size("hits").cast("long").alias("n_notice_lines"))
 

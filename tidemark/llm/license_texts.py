@@ -1,5 +1,7 @@
 """Known licence texts (fixed values: they must read as published) and one-line notices that point to a licence."""
 
+from importlib.resources import files
+
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
 rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
@@ -81,6 +83,27 @@ TEXTS = [
     ("Apache-2.0", _APACHE_HEADER),
 ]
 
+#: Licences that are published as long texts, by the names of their files in ``licenses``.
+FULL = {
+    "Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0",
+    "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+}
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the long licences: as published, with https links, and with no appendix after (or from) the end mark."""
+    out = []
+    for file, name in FULL.items():
+        text = files(__package__).joinpath("licenses", f"{file}.txt").read_text(encoding="utf-8")
+        forms = [text]
+        if _END in text:
+            terms = text[: text.index(_END)]
+            forms += [terms, terms + _END]
+        out += [(name, f) for t in forms for f in dict.fromkeys([t, t.replace("http://", "https://")])]
+    return out
+
+
 #: (licence, line): notices that stand on a line of their own.
 NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
