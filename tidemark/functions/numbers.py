@@ -70,7 +70,7 @@ def log_bonus(c: Column, cap: float) -> Column:
 
 
 def confidence(sources: Column, hits: Column) -> Column:
-    """The ladder from the number of text sources with a signal and the number of matching reviews."""
+    """The ladder from the number of text sources with a signal and the number of matching reviews (fixed values)."""
     return F.when(sources >= 2, 0.80).when((sources == 1) & (hits >= 10), 0.70).when(sources == 1, 0.60).when(hits >= 25, 0.55).otherwise(0.0)
 
 
@@ -79,11 +79,12 @@ def threshold_flag(conf: Column, hits: Column, least_conf: float = 0.60, least_h
 
 
 def polarity(score: Column) -> Column:
+    """The label of a score, by limits that are fixed values."""
     return F.when(score >= 0.05, "positive").when(score <= -0.05, "negative").when(score.isNotNull(), "neutral")
 
 
 def score_bin(score: Column) -> Column:
-    """Negative (-1, -0.05], Neutral (-0.05, 0.05], Positive (0.05, 1]; null outside."""
+    """Negative (-1, -0.05], Neutral (-0.05, 0.05], Positive (0.05, 1] (fixed values); null outside."""
     return F.when((score > -1) & (score <= -0.05), "Negative").when((score > -0.05) & (score <= 0.05), "Neutral").when((score > 0.05) & (score <= 1), "Positive")
 
 

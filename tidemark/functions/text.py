@@ -7,6 +7,14 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Signs that make up words; ``whole_words`` puts a pattern between word boundaries in these terms, whatever the engine takes for one.
+WORD = r"\p{L}\p{N}_"
+
+
+def whole_words(pattern: str) -> str:
+    return rf"(?<![{WORD}])(?:{pattern})(?![{WORD}])"
+
+
 URL = r"(?i)https?://\S+|www\.\S+"
 
 
@@ -102,6 +110,11 @@ def app_key(store: Column, app_id: Column) -> Column:
     return F.when(text != "", key)
 
 
+def keyed_or_numbered(store: Column, app_id: Column, number: Column) -> Column:
+    """The key, or for a record without an id one made of the row's number, so that such records stay apart."""
+    return F.coalesce(app_key(store, app_id), F.concat(F.lit("row:"), number.cast("string")))
+
+
 def split_key(key: Column) -> tuple[Column, Column]:
     """(store, id) of a key; the store is null for an unknown prefix."""
     parts = F.split(key, ":", 2)

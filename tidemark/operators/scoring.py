@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import recency_bonus
 from ..functions.numbers import clamp, log_bonus, number_or
-from ..functions.text import text_or_blank
+from ..functions.text import text_or_blank, whole_words
 
 
 @dataclass(frozen=True)
@@ -40,6 +40,8 @@ class Weights:
     category_bonus: float = 0.12
     category_penalty: float = 0.08
     popularity_cap: float = 0.18
+    #: days up to which an update is fresh and from which it is stale, bonus and penalty
+    recency: tuple[int, int, float, float] = (365, 1095, 0.10, 0.10)
 
     def plus(self, include: list[str] = (), exclude: list[str] = ()) -> Weights:
         """With more terms, in lower case, without repeats."""
@@ -47,19 +49,24 @@ class Weights:
         return replace(self, include_terms=add(self.include_terms, include), exclude_terms=add(self.exclude_terms, exclude))
 
 
-def whole_word_count(text: Column, term: str) -> Column:
-    return F.regexp_count(text, F.lit(rf"\b{re.escape(term)}\b"))
+def term_count(text: Column, terms: tuple[str, ...]) -> Column:
+    """How often the terms stand in a text as whole words; terms of several words count besides the words in them. Single
+    words can't overlap, so one pattern counts them all."""
+    single = [t for t in terms if re.fullmatch(r"\w+", t)]
+    patterns = ["|".join(single)] if single and len(set(single)) == len(single) else single
+    patterns += [re.escape(t) for t in terms if t not in single]
+    return reduce(lambda a, p: a + F.regexp_count(text, F.lit(whole_words(p))), patterns, F.lit(0))
 
 
-def has_phrase(text: Column, phrase: str) -> Column:
-    return F.contains(text, F.lit(phrase)).cast("int")
+def phrase_count(text: Column, phrases: tuple[str, ...]) -> Column:
+    """How many of the phrases stand in a text as whole words."""
+    return reduce(lambda a, p: a + F.coalesce(text.rlike(whole_words(re.escape(p))), F.lit(False)).cast("int"), phrases, F.lit(0))
 
 
 def field_score(text: Column, w: Weights, weight: float, times: float, minus: float) -> Column:
     low = F.lower(text_or_blank(text))
-    add = lambda cols: reduce(lambda a, b: a + b, cols, F.lit(0))
-    good = F.lit(times) * add(whole_word_count(low, t) for t in w.include_terms) + 2 * add(has_phrase(low, p) for p in w.include_phrases)
-    bad = F.lit(minus) * add(whole_word_count(low, t) for t in w.exclude_terms) + F.lit(2 * minus) * add(has_phrase(low, p) for p in w.exclude_phrases)
+    good = F.lit(times) * term_count(low, w.include_terms) + 2 * phrase_count(low, w.include_phrases)
+    bad = F.lit(minus) * term_count(low, w.exclude_terms) + F.lit(2 * minus) * phrase_count(low, w.exclude_phrases)
     return F.lit(weight) * (good - bad)
 
 
@@ -73,11 +80,12 @@ def relevance(columns: dict[str, Column], store: Column, ratings: Column, instal
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), total / w.scale))
     score = score + F.when(F.coalesce(allowed, F.lit(False)), w.category_bonus).otherwise(0.0) - F.when(poor, w.category_penalty).otherwise(0.0)
     score = score + log_bonus(number_or(ratings, 0), w.popularity_cap) + log_bonus(number_or(installs, 0), w.popularity_cap)
-    return clamp(score + recency_bonus(updated, as_of))
+    return clamp(score + recency_bonus(updated, as_of, *w.recency))
 
 
 def simple_relevance(fields: list[Column], ratings: Column, installs: Column, include: list[str], exclude: list[str]) -> Column:
-    """The older score: substring hits over the number of terms, with small steps for popularity."""
+    """The older score: substring hits over the number of terms, with small steps for popularity. The steps are fixed values:
+    results depend on them."""
     text = F.lower(F.concat_ws(" ", *fields))
     hits = lambda terms: reduce(lambda a, t: a + (F.length(text) - F.length(F.replace(text, F.lit(t), F.lit("")))) / len(t), terms, F.lit(0.0))
     base = F.greatest(F.lit(0.0), hits(include) - 2 * hits(exclude)) / max(5.0, float(len(include)))

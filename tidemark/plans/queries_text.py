@@ -91,14 +91,14 @@ def feature_matrix_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _W = scoring.Weights(
-    include_terms=("the", "of", "with"), include_phrases=("of the",), exclude_terms=("is", "was"), exclude_phrases=("is the",),
+    include_terms=("the", "of", "with"), include_phrases=("of the", "in"), exclude_terms=("is", "was", "of then"), exclude_phrases=("is the", "on"),
     categories={"PlayStore": ("src1", "src2")}, poor_categories=("src9",), scale=400.0, fields={"title": (3.0, 1.0, 2.0), "category": (2.0, 0.8, 1.5), "description": (1.0, 0.6, 0.5)},
 )
 _AS_OF = dt.date(2002, 1, 1)
 
 
 def _relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    docs = table(spark, sf_dir, "documents")
     cols = {"title": F.substring("text", 1, 80), "category": F.col("source"), "description": F.col("text")}
     day = F.date_add(F.lit(dt.date(1998, 1, 1)), (F.col("doc_id") % 1500).cast("int"))
     score = scoring.relevance(cols, F.lit("PlayStore"), F.col("n_chars"), F.col("doc_id"), day, _AS_OF, _W)
@@ -107,8 +107,9 @@ def _relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _field_sql(c: str, w: float, t: float, e: float) -> str:
     n, low = norm_sql(c), f"lower({c})"
-    count = lambda x: f"len(list_filter(string_split({n}, ' '), lambda q: q = '{x}'))"
-    has = lambda p: f"contains({low}, '{p}')::INT"
+    spread = f"replace({low}, ' ', '  ')"  # a space for each neighbour, since a match takes its own away
+    count = lambda x: f"len(list_filter(string_split({n}, ' '), lambda q: q = '{x}'))" if " " not in x else f"len(regexp_extract_all({spread}, '(^|[^\\p{{L}}\\p{{N}}_]){x.replace(' ', '  ')}($|[^\\p{{L}}\\p{{N}}_])'))"
+    has = lambda p: f"regexp_matches({low}, '(^|[^\\p{{L}}\\p{{N}}_]){p}($|[^\\p{{L}}\\p{{N}}_])')::INT"
     good = f"{t} * ({' + '.join(map(count, _W.include_terms))}) + 2 * ({' + '.join(map(has, _W.include_phrases))})"
     bad = f"{e} * ({' + '.join(map(count, _W.exclude_terms))}) + {2 * e} * ({' + '.join(map(has, _W.exclude_phrases))})"
     return f"{w} * (({good}) - ({bad}))"
@@ -122,7 +123,7 @@ scored AS (
       + CASE WHEN source IN ('src1', 'src2') THEN 0.12 ELSE 0 END::DOUBLE - CASE WHEN contains(source, 'src9') THEN 0.08 ELSE 0 END::DOUBLE
       + {_BONUS("n_chars")} + {_BONUS("doc_id")}
       + CASE WHEN age <= 365 THEN 0.1 WHEN age >= 1095 THEN -0.1 ELSE 0 END::DOUBLE)), 3) AS relevance_score
-  FROM (SELECT *, substring(text, 1, 80) AS title, date_diff('day', DATE '1998-01-01' + (doc_id % 1500)::INTEGER, DATE '2002-01-01') AS age FROM documents WHERE lang = 'en'))"""
+  FROM (SELECT *, substring(text, 1, 80) AS title, date_diff('day', DATE '1998-01-01' + (doc_id % 1500)::INTEGER, DATE '2002-01-01') AS age FROM documents))"""
 
 
 @query(f"WITH {_RELEVANCE} SELECT doc_id, relevance_score FROM scored")
@@ -149,13 +150,13 @@ def relevance_gate_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS squeezed, length(regexp_replace(lower(substring(text, 1, 50)), '[^a-z0-9]+', '-', 'g'))::BIGINT AS slug_length,
+SELECT doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS squeezed, length(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'))::BIGINT AS slug_length,
   substring(text, 1, 20) AS head, md5(trim(regexp_replace(regexp_replace(lower(text), '(?i)https?://\\S+|www\\.\\S+', ' ', 'g'), '\\s+', ' ', 'g'))) AS bare
 FROM documents
 """)
 def text_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    slug = F.regexp_replace(F.lower(F.substring("text", 1, 50)), r"[^a-z0-9]+", "-")
+    slug = F.regexp_replace(F.lower("text"), r"[^a-z0-9]+", "-")
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.squeeze(t)).alias("squeezed"), F.length(slug).cast("bigint").alias("slug_length"), text.cut(t, 20).alias("head"), F.md5(text.without_urls(F.lower(t))).alias("bare"))
 
 
@@ -344,9 +345,9 @@ def keyword_sentiment_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT word, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-zA-Z]{3,}')) AS word FROM documents WHERE lang = 'en')
+SELECT word, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-zA-Z]{3,}')) AS word FROM documents)
 WHERE word NOT IN ('the', 'and') GROUP BY word ORDER BY n DESC, word LIMIT 30
 """)
 def word_frequency_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    docs = table(spark, sf_dir, "documents")
     return aggregate.word_frequencies(docs, F.col("text"), ["the", "and"]).orderBy(F.desc("n"), "word").limit(30)
