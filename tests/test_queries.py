@@ -66,7 +66,14 @@ def test_feed_equals_batch(spark, tmp_path):
     df = spark.createDataFrame(rows, schema)
     for i in range(3):
         df.where(f"seq % 3 = {i}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    q = feed.start(feed.feed(spark, f"{tmp_path}/in", schema, files_per_batch=1), f"{tmp_path}/table", f"{tmp_path}/state", ["k"], "r", "seq")
-    q.awaitTermination()
+    run = lambda: feed.finish(feed.start(feed.feed(spark, f"{tmp_path}/in", schema, files_per_batch=1), f"{tmp_path}/table", f"{tmp_path}/state", ["k"], "r", "seq"))
+    run()
     batch = feed.best(feed.once(None, df, ["k"], "r", "seq"), ["k"], "body", "at", "seq")
     assert sorted(r.seq for r in feed.latest(spark, f"{tmp_path}/table", ["k"], "body", "at", "seq").collect()) == sorted(r.seq for r in batch.collect())
+    # a restarted feed knows the ids that it has seen
+    more = spark.createDataFrame([("a", "1", "z", None, 7), ("a", "4", "new", None, 8), ("a", "4", "again", None, 9)], schema)
+    more.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    run()
+    want = feed.best(feed.once(None, df.unionByName(more), ["k"], "r", "seq"), ["k"], "body", "at", "seq")
+    assert sorted(r.seq for r in feed.latest(spark, f"{tmp_path}/table", ["k"], "body", "at", "seq").collect()) == sorted(r.seq for r in want.collect())
+    assert spark.read.parquet(f"{tmp_path}/table/named").count() == 4

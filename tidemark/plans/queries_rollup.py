@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, numbers, text
 from ..operators import aggregate, dedupe, flatten, gates, joins, schema, sentiment
 from ..streaming import feed
-from .base import query, table
+from .base import query, shared, table
 from .queries_text import norm_sql
 
 
@@ -26,7 +26,7 @@ def keep_latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY text, lang")
 def keep_first_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe.keep_first(table(spark, sf_dir, "documents"), ["text", "lang"], [F.col("doc_id").asc()]).select("doc_id")
+    return dedupe.first_distinct(table(spark, sf_dir, "documents"), ["text"], ["lang"], "doc_id")
 
 
 @query("SELECT conv_id, role, arg_max(turn, turn) AS turn FROM conversations GROUP BY conv_id, role")
@@ -51,10 +51,7 @@ GROUP BY app_key, f
 """)
 def best_text_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 3).alias("app_key"), F.when(F.col("doc_id") % 5 > 0, F.col("n_chars") + F.col("doc_id")).alias("at"))
-    rows = rows.withColumn("h", text.review_hash(F.col("app_key"), F.col("text")))
-    best = dedupe.best_by_text(rows, "app_key", "text", "at", [F.col("doc_id").asc()], "hash")
-    sizes = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    return best.drop("h").withColumnRenamed("hash", "h").join(sizes, "h").select(F.col("doc_id").alias("kept"), "n")
+    return dedupe.best_per_text(rows, "app_key", "text", "at", "doc_id", ["doc_id"]).select(F.col("doc_id").alias("kept"), "n")
 
 
 @query("""
@@ -89,18 +86,20 @@ def unweighted_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT c_custkey, c_name, n_name, coalesce(f, 0)::INTEGER AS "F", coalesce(o, 0)::INTEGER AS "O", coalesce(p, 0)::INTEGER AS "P", round(mean_price + 1e-7, 4) AS mean_price
+SELECT c_custkey, c_name, n_name, coalesce(f, 0)::INTEGER AS "F", coalesce(o, 0)::INTEGER AS "O", coalesce(p, 0)::INTEGER AS "P", mean_price
 FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey
-LEFT JOIN (SELECT o_custkey, max((o_orderstatus = 'F')::INT) AS f, max((o_orderstatus = 'O')::INT) AS o, max((o_orderstatus = 'P')::INT) AS p, avg(o_totalprice) AS mean_price FROM orders GROUP BY 1) ON o_custkey = c_custkey
+LEFT JOIN (SELECT o_custkey, max((o_orderstatus = 'F')::INT) AS f, max((o_orderstatus = 'O')::INT) AS o, max((o_orderstatus = 'P')::INT) AS p,
+  ((20000 * sum(round(o_totalprice * 100)::BIGINT) + count(*)) // (2 * count(*)))::DOUBLE / 1000000 AS mean_price FROM orders GROUP BY 1) ON o_custkey = c_custkey
 """)
 def card_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderstatus", "o_totalprice").withColumn("flag", F.lit(1))
     flags = aggregate.matrix(orders, "c_custkey", "o_orderstatus", "flag", "max", ["F", "O", "P"])
-    means = aggregate.plain_rollup(orders, ["c_custkey"], ["o_totalprice"]).withColumnRenamed("o_totalprice", "mean_price")
+    # prices are whole cents: their means are exact to six decimals
+    means = aggregate.plain_rollup(orders.withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)")), ["c_custkey"], ["o_totalprice"]).withColumnRenamed("o_totalprice", "mean_price")
     nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     out = joins.enriched(joins.enriched(joins.one_to_one(customers, nations, ["c_nationkey"], [F.col("n_name").asc()]), flags, ["c_custkey"], "_f"), means, ["c_custkey"], "_m")
-    return out.select("c_custkey", "c_name", "n_name", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("F", "O", "P")), F.round(F.col("mean_price") + 1e-7, 4).alias("mean_price"))
+    return out.select("c_custkey", "c_name", "n_name", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("F", "O", "P")), F.col("mean_price").cast("double").alias("mean_price"))
 
 
 @query("""
@@ -121,11 +120,11 @@ def resume_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT doc_id AS id, 'old' AS origin FROM labels UNION ALL
-SELECT doc_id, 'new' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND lang = 'de'
+SELECT doc_id, 'new' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
 """)
 def candidate_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.lit("old").alias("origin"))
-    return joins.appended(old, table(spark, sf_dir, "documents").where("lang = 'de'").select(F.col("doc_id").alias("id"), F.lit("new").alias("origin")), ["id"])
+    return joins.appended(old, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("new").alias("origin")), ["id"])
 
 
 @query("""
@@ -163,11 +162,11 @@ def rater_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT item, count(*)::BIGINT AS n FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(regexp_replace(substring(text, 1, 200), '[''"\\\\\\[\\]\\x00-\\x1f]', '', 'g')), ','), lambda x: trim(x) <> '')) AS raw, trim(raw) AS item FROM documents)
+SELECT item, count(*)::BIGINT AS n FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(regexp_replace(text, '[''"\\\\\\[\\]\\x00-\\x1f]', '', 'g')), ','), lambda x: trim(x) <> '')) AS raw, trim(raw) AS item FROM documents)
 GROUP BY item ORDER BY n DESC, item LIMIT 10
 """)
 def list_frequency_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = F.regexp_replace(F.substring("text", 1, 200), r"['\"\\\[\]\x00-\x1f]", "")
+    plain = F.regexp_replace("text", r"['\"\\\[\]\x00-\x1f]", "")
     literal = F.concat(F.lit("['"), F.regexp_replace(plain, ",", "','"), F.lit("']"))
     docs = table(spark, sf_dir, "documents").select(text.literal_list(literal).alias("items"))
     return aggregate.frequencies(docs, F.col("items")).orderBy(F.desc("n"), "item").limit(10)
@@ -277,11 +276,11 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feed in batches: the first row of each (user, value), whichever batch it comes in."""
     import uuid
 
-    root = f"{_shared(spark)}/feed-{uuid.uuid4().hex}"
+    root = f"{shared(spark)}/feed-{uuid.uuid4().hex}"
     rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("app_key"), F.col("value").cast("string").alias("review_id"), F.col("event_id").cast("string").alias("body"), F.lit(None).cast("timestamp").alias("at"), F.col("event_id").alias("seq"))
     rows.write.option("maxRecordsPerFile", 4000).parquet(f"{root}/in")
     stream = feed.feed(spark, f"{root}/in", "app_key string, review_id string, body string, at timestamp, seq long", files_per_batch=1)
-    feed.start(stream, f"{root}/table", f"{root}/state", ["app_key"], "review_id", "seq").awaitTermination()
+    feed.finish(feed.start(stream, f"{root}/table", f"{root}/state", ["app_key"], "review_id", "seq"))
     got = feed.latest(spark, f"{root}/table", ["app_key"], "body", "at", "seq")
     return got.select(F.col("seq").alias("event_id"), F.col("app_key").cast("bigint").alias("user_id"), F.col("review_id").cast("double").alias("value"))
 
@@ -293,18 +292,8 @@ def stream_late_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feed without late rows; rows without a time go, rows whose time can't be read stay."""
     import uuid
 
-    root = f"{_shared(spark)}/feed-{uuid.uuid4().hex}"
+    root = f"{shared(spark)}/feed-{uuid.uuid4().hex}"
     _batches(spark, sf_dir).write.parquet(f"{root}/in")
     late = feed.not_late(feed.feed(spark, f"{root}/in", _FEED), "at", dt.datetime(2024, 1, 31, tzinfo=dt.timezone.utc), 10)
     feed.start_append(late, f"{root}/table", f"{root}/state").awaitTermination()
     return spark.read.schema(_FEED).parquet(f"{root}/table").select("event_id", "user_id")
-
-
-def _shared(spark: SparkSession) -> str:
-    got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not got:
-        import tempfile
-
-        got = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(got)
-    return got.rstrip("/")

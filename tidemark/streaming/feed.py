@@ -1,15 +1,16 @@
 """An append-only review feed as a stream: micro-batches, ids seen before, the best row of each text, late rows.
 
-State lives in the checkpoint and in the table that is upserted, so a restarted stream goes on where it stopped and a
-batch that is run again changes nothing.
+Ids that were seen are keys of Spark's state store, so a batch costs what its own rows cost, however long the history.
+The state's checkpoint and the table are enough to go on after a stop; a batch that is run again writes the same folder.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -38,30 +39,54 @@ def best(rows: DataFrame, keys: list[str], body: str, time: str, seq: str) -> Da
     return best_by_text(rows, keys[0], body, time, [F.col(seq).asc()]).drop("text_hash")
 
 
-def upsert(folder: str, keys: list[str], review_id: str, seq: str) -> Callable[[DataFrame, int], None]:
-    """A batch function that keeps ``folder`` as numbered snapshots: batch n is made from the one before it, so running a
-    batch again gives the same snapshot. A snapshot has a row for each id that was ever seen, also where another row has
-    the better text: its id must not come back."""
+def _named(review_id: str) -> Column:
+    """Whether a row has an id at all; rows without one are never told from one another."""
+    return F.coalesce(F.trim(F.col(review_id).cast("string")), F.lit("")) != ""
+
+
+def fresh(stream: DataFrame, keys: list[str], review_id: str, seq: str) -> DataFrame:
+    """A stream's rows with, for each id, what the state store knows: the first row (by ``seq``) as ``row``, and the times of
+    the batches in which the id came first (``since``) and last (``at``). An id is new where the two are equal."""
+    rows = stream.where(_named(review_id)).select(*keys, review_id, F.struct(*(F.col(c) for c in stream.columns)).alias("row"), F.current_timestamp().alias("at"))
+    return rows.groupBy(*keys, review_id).agg(F.min_by("row", F.col(f"row.{seq}")).alias("row"), F.min("at").alias("since"), F.max("at").alias("at")).select("row", "since", "at")
+
+
+def appended_once(folder: str) -> Callable[[DataFrame, int], None]:
+    """A batch function that writes the rows with new ids to a folder of the batch, over whatever a failed run has left there."""
 
     def run(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        before = f"{folder}/batch={n - 1}"
-        old = spark.read.schema(batch.schema).parquet(before) if n > 0 and exists(spark, before) else None
-        once(old, batch, keys, review_id, seq).write.mode("overwrite").parquet(f"{folder}/batch={n}")
+        batch.where("since = at").select("row.*").write.mode("overwrite").parquet(f"{folder}/batch={n}")
 
     return run
 
 
 def latest(spark: SparkSession, folder: str, keys: list[str], body: str, time: str, seq: str) -> DataFrame:
-    """The reviews as they stand: the newest snapshot with the best row of each text."""
-    df = spark.read.option("basePath", folder).parquet(f"{folder}/batch=*")
-    return best(df.where(F.col("batch") == df.agg(F.max("batch")).first()[0]).drop("batch"), keys, body, time, seq)
+    """The reviews as they stand: of the first rows of all ids the best of each text."""
+    named = [f"{folder}/named", f"{folder}/unnamed"]
+    parts = [spark.read.option("basePath", p).parquet(f"{p}/batch=*").drop("batch") for p in named if exists(spark, f"{p}/batch=*")]
+    return best(reduce(DataFrame.unionByName, parts), keys, body, time, seq)
+
+
+def start(stream: DataFrame, table: str, checkpoint: str, keys: list[str], review_id: str, seq: str) -> list[StreamingQuery]:
+    """Run over all files there are, batch by batch, then stop: one query for rows with ids, one for those without. The
+    state is kept by RocksDB with a log of changes."""
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+    def put(batch: DataFrame, n: int) -> None:
+        if not batch.isEmpty():
+            batch.write.mode("overwrite").parquet(f"{table}/unnamed/batch={n}")
+
+    every = lambda df, name: df.writeStream.option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True)
+    one = every(fresh(stream, keys, review_id, seq), "named").outputMode("update").foreachBatch(appended_once(f"{table}/named")).start()
+    two = every(stream.where(~_named(review_id)), "unnamed").foreachBatch(put).start()
+    return [one, two]
 
 
-def start(stream: DataFrame, table: str, checkpoint: str, keys: list[str], review_id: str, seq: str) -> StreamingQuery:
-    """Run over all files there are, batch by batch, then stop."""
-    run = upsert(table, keys, review_id, seq)
-    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def finish(queries: list[StreamingQuery]) -> None:
+    for q in queries:
+        q.awaitTermination()
 
 
 def start_append(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
