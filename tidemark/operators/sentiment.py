@@ -10,13 +10,21 @@ from pyspark.sql import functions as F
 from ..functions.numbers import polarity
 from ..functions.text import text_or_blank
 
-#: Our own small lexicon: word and weight.
-LEXICON = {
-    "good": 1.9, "great": 3.1, "love": 3.2, "loved": 2.9, "like": 1.5, "nice": 1.8, "best": 3.2, "better": 1.9, "easy": 1.9, "helpful": 1.8, "help": 1.7, "useful": 1.9,
-    "amazing": 2.8, "awesome": 3.1, "excellent": 2.7, "perfect": 2.7, "fun": 2.3, "happy": 2.7, "thanks": 1.9, "works": 1.0, "smooth": 1.3, "recommend": 1.5, "worth": 0.9,
-    "bad": -2.5, "worse": -2.1, "worst": -3.1, "hate": -2.7, "awful": -2.0, "terrible": -2.1, "bug": -1.3, "bugs": -1.3, "buggy": -1.6, "crash": -1.7, "crashes": -1.7, "broken": -1.5,
-    "useless": -1.8, "annoying": -1.7, "slow": -1.0, "problem": -1.7, "problems": -1.7, "issue": -0.9, "issues": -0.9, "scam": -2.4, "waste": -1.8, "ads": -0.8, "expensive": -0.6, "fail": -2.5,
-}
+#: Our own small lexicon, in three steps of our own.
+LEXICON = (
+    dict.fromkeys(("love", "loved", "best", "amazing", "awesome", "excellent", "perfect", "great"), 3.0)
+    | dict.fromkeys(("good", "nice", "happy", "fun", "helpful", "useful", "better", "easy", "smooth", "recommend"), 2.0)
+    | dict.fromkeys(("like", "help", "thanks", "works", "worth"), 1.0)
+    | dict.fromkeys(("slow", "issue", "issues", "ads", "expensive", "bug", "bugs"), -1.0)
+    | dict.fromkeys(("bad", "worse", "buggy", "broken", "problem", "problems", "annoying", "crash", "crashes", "useless", "waste", "fail"), -2.0)
+    | dict.fromkeys(("worst", "hate", "awful", "terrible", "scam"), -3.0)
+)
+#: Words that turn the next words round, and words that make them stronger or weaker.
+NEGATIONS = ("not", "no", "never", "none", "nothing", "hardly", "without", "cannot", "can't", "cant", "don't", "dont", "doesn't", "doesnt", "didn't", "didnt", "isn't", "isnt", "wasn't", "wasnt", "won't", "wont")
+STRONGER = ("very", "really", "extremely", "so", "totally", "absolutely", "completely", "incredibly")
+WEAKER = ("slightly", "somewhat", "barely", "kinda", "almost", "partly")
+#: How much a negation keeps of a weight and with which sign, what a booster adds, and what an exclamation mark adds (four at most).
+TURN, BOOST, MARK = -0.74, 0.293, 0.292
 #: Words of the keyword engine (fixed values); positive ones are looked for first.
 POSITIVE = ("good", "great", "love", "help", "focus", "improve", "useful", "amazing")
 NEGATIVE = ("bad", "bug", "crash", "issue", "problem", "hate", "annoying")
@@ -36,16 +44,43 @@ def lexicon_score(text: Column, lexicon: dict[str, float] = LEXICON) -> Column:
     return F.round(total / F.sqrt(total * total + 15), 4)
 
 
+def valence_score(text: Column, lexicon: dict[str, float] = LEXICON) -> Column:
+    """Like ``lexicon_score``, but a word's weight is turned round by a negation among the three words before it, changed by
+    boosters there (less so from further away), and the sum is raised by exclamation marks."""
+    raw = text_or_blank(text)
+    found = F.filter(F.split(F.lower(raw), r"[^\p{L}\p{N}']+"), lambda w: w != "")
+    table = F.create_map(*(F.lit(x) for pair in sorted(lexicon.items()) for x in pair))
+
+    def one(w: Column, i: Column) -> Column:
+        weight = F.try_element_at(table, w)
+        sign = F.signum(weight)
+        before = [F.get(found, i - d) for d in (1, 2, 3)]
+        boost = sum((F.when(b.isin(*STRONGER), BOOST * f).when(b.isin(*WEAKER), -BOOST * f).otherwise(0.0) for b, f in zip(before, (1.0, 0.95, 0.9))), F.lit(0.0))
+        turned = F.coalesce(before[0].isin(*NEGATIONS), F.lit(False)) | F.coalesce(before[1].isin(*NEGATIONS), F.lit(False)) | F.coalesce(before[2].isin(*NEGATIONS), F.lit(False))
+        return F.coalesce((weight + sign * boost) * F.when(turned, F.lit(TURN)).otherwise(1.0), F.lit(0.0))
+
+    total = F.aggregate(F.transform(found, one), F.lit(0.0), lambda s, v: s + v)
+    total = total + F.signum(total) * MARK * F.least(F.regexp_count(raw, F.lit("!")), F.lit(4))
+    return F.round(total / F.sqrt(total * total + 15), 4)
+
+
 ENGINES: dict[str, Callable[[Column], Column]] = {
-    "lexicon": lexicon_score,
+    "lexicon": valence_score,
+    "words": lexicon_score,
     "keywords": lambda text: F.when(keyword_label(text) == "Positive", 0.5).when(keyword_label(text) == "Negative", -0.5).otherwise(0.0),
 }
+#: Names of models that aren't here; they fall back on the lexicon.
+ABSENT = ("vader", "hf", "transformer", "roberta")
 
 
-def engine(name: str, fallback: str = "lexicon") -> Callable[[Column], Column]:
-    """The engine of this name, or the fallback. An engine maps a text column to a score column; a Pandas function that is
-    registered here works too."""
-    return ENGINES.get(name, ENGINES[fallback])
+def engine(name: str | None, fallback: str = "lexicon") -> Callable[[Column], Column]:
+    """The engine of this name; the fallback for no name and for models that aren't here; an error for an unknown name. An
+    engine maps a text column to a score column; a Pandas function that is registered here works too."""
+    if not name or name.lower() in ABSENT:
+        return ENGINES[fallback]
+    if name.lower() not in ENGINES:
+        raise ValueError(f"unknown engine: {name}; there are {', '.join(sorted(ENGINES))}")
+    return ENGINES[name.lower()]
 
 
 def with_sentiment(df: DataFrame, text: str, name: str = "lexicon") -> DataFrame:

@@ -61,8 +61,8 @@ def normalized(raw: DataFrame, as_of: dt.date, weights: scoring.Weights | None =
 
 def checked(catalog: DataFrame, least_ratings: float = 50, least_installs: float = 10_000, least_users: float = 1000, least_relevance: float = 0.2, nulls: str = "win") -> DataFrame:
     """The latest row of each app, with ``drop_reason`` (null for those that stay)."""
-    rows = schema.normal_cells(schema.normal_names(catalog))
-    rows = rows.withColumn("app_key", F.coalesce("app_key", text.app_key(F.col("store"), F.col("id"))))
+    rows = schema.normal_cells(schema.normal_names(catalog)).withColumn("__n", F.monotonically_increasing_id())
+    rows = rows.withColumn("app_key", F.coalesce("app_key", text.keyed_or_numbered(F.col("store"), F.col("id"), F.col("__n")))).drop("__n")
     latest = dedupe.keep_latest(rows, ["app_key"], "scraped_at", "rating_count", [F.col("title").asc()], nulls)
     return latest.withColumn("drop_reason", gates.reasons({
         "missing_title_and_description": gates.readable(F.col("title"), F.col("description")),
@@ -84,7 +84,8 @@ def scored_reviews(reviews: DataFrame, engine: str = "lexicon", as_of: dt.dateti
 def features_long(apps: DataFrame, websites: DataFrame, reviews: DataFrame, least_conf: float = 0.60, least_hits: int = 5, features: dict | None = None) -> DataFrame:
     """Per app and feature: flag, confidence, signals, review_hits. One scan of the reviews for all features."""
     table = features or tagging.DOMAIN
-    hits = tagging.tag_counts(reviews, ["app_key"], text.compose(F.col("title"), F.col("body")), table).select("app_key", "feature", F.col("hits").alias("review_hits"))
+    said = F.trim(F.concat_ws(" ", "body", "title"))
+    hits = tagging.tag_counts(reviews, ["app_key"], said, table).select("app_key", "feature", F.col("hits").alias("review_hits"))
     wide = joins.one_to_one(apps, websites.select("app_key", "website_text"), ["app_key"], [F.col("website_text").asc_nulls_last()])
     fields = {"title": F.col("title"), "description": F.col("description"), "website": F.col("website_text"), "metadata": F.concat_ws(" ", "category", "developer")}
     got = tagging.feature_signals(wide, ["app_key"], fields, hits, table)
