@@ -59,6 +59,17 @@ def external_link(html: Column, own: str = r"(?i)^https?://([^/]*\.)?(google|gst
     return F.get(F.filter(links(html), lambda x: x.rlike(r"(?i)^https?://") & ~x.rlike(own)), F.lit(0))
 
 
+def labelled_link(html: Column, *names: str) -> Column:
+    """The target of the first link with one of these texts."""
+    found = [F.nullif(F.regexp_extract(text_or_blank(html), rf"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"'#]+)["'][^>]*>(?:\s*<[^>]*>)*\s*{n}\b""", 1), F.lit("")) for n in names]
+    return F.coalesce(*found)
+
+
+def website(html: Column) -> Column:
+    """The developer's site: a link named so, else the text of such an element, else the first link to another site."""
+    return F.coalesce(web_url(labelled_link(html, "Visit website", "Website")), web_url(value_after(html, "Website")), external_link(html))
+
+
 def play_id(link: Column) -> Column:
     return F.nullif(F.regexp_extract(link, r"[?&]id=([A-Za-z0-9._]+)", 1), F.lit(""))
 

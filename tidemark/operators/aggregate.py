@@ -62,12 +62,32 @@ def kappa(a: str, b: str) -> Column:
     return F.round(F.when(chance < 1, F.try_divide(agree - chance, 1 - chance)), 3)
 
 
-def rater_agreement(ratings: DataFrame, items: list[str], rater: str, value: str) -> DataFrame:
+def _raters(ratings: DataFrame, rater: str, most: int) -> list[str]:
+    """The raters' names, of which there are few; more than ``most`` are an error."""
+    found = sorted(r[0] for r in ratings.select(rater).where(F.col(rater).isNotNull()).distinct().limit(most + 1).collect())
+    if len(found) > most:
+        raise ValueError(f"more than {most} raters")
+    return found
+
+
+def human_agreement(ratings: DataFrame, human: DataFrame, items: list[str], rater: str, value: str, most: int = 50) -> DataFrame:
+    """Kappa and number of items of each rater against the human labels (column ``value``), over the items that have both a
+    rating by anyone and a human label; an item that this rater didn't label counts as 0."""
+    raters = _raters(ratings, rater, most)
+    if not raters:
+        return ratings.sparkSession.createDataFrame([], "rater_a string, rater_b string, kappa double, n long")
+    wide = ratings.groupBy(*items).pivot(rater, raters).agg(F.max(value)).fillna(0, raters)
+    both = wide.join(human.groupBy(*items).agg(F.max(value).alias("__human")).where("__human is not null"), items)
+    each = both.agg(F.array(*(F.struct(F.lit(r).alias("rater_a"), F.lit("human").alias("rater_b"), kappa(f"`{r}`", "__human").alias("kappa"), F.count(F.lit(1)).alias("n")) for r in raters)).alias("all"))
+    return each.select(F.inline("all")).where("n > 0")
+
+
+def rater_agreement(ratings: DataFrame, items: list[str], rater: str, value: str, most: int = 50) -> DataFrame:
     """Kappa and number of items for every pair of raters; an item that a rater didn't label counts as 0.
 
     Ratings are pivoted to a column per rater (one shuffle on the items), then all pairs are one aggregate.
     """
-    raters = sorted(r[0] for r in ratings.select(rater).where(F.col(rater).isNotNull()).distinct().collect())
+    raters = _raters(ratings, rater, most)
     wide = ratings.groupBy(*items).pivot(rater, raters).agg(F.max(value)).fillna(0, raters)
     pairs = list(combinations(raters, 2))
     if not pairs:
@@ -94,7 +114,8 @@ def word_frequencies(df: DataFrame, text: Column, stop: list[str] = (), least: i
 
 
 def joined_texts(df: DataFrame, keys: list[str], text: str, seq: str, sep: str = " ", first: int | None = None) -> DataFrame:
-    """The texts of each key in order, nulls skipped; ``first`` limits them before they are gathered."""
+    """The texts of each key in order, nulls skipped; ``first`` limits them before they are gathered. Without it a key's texts
+    are one value, however many: only for keys that are known to be small."""
     rows = df.where(F.col(text).isNotNull())
     if first:
         rows = rows.withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy(seq))).where(F.col("__r") <= first)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 
 def csv(spark: SparkSession, path: str | list[str], schema: str | T.StructType | None = None, as_text: bool = False) -> DataFrame:
@@ -48,8 +47,8 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def load_any(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
-    """By suffix: .jsonl, .json, .csv, .parquet, .xlsx. A missing path is an error."""
+def load_any(spark: SparkSession, path: str, schema: str | T.StructType | None = None, as_text: bool = False) -> DataFrame:
+    """By suffix: .jsonl, .json, .csv, .parquet, .xlsx. A missing path is an error. ``as_text``: a CSV's columns all as text."""
     if not exists(spark, path):
         raise FileNotFoundError(path)
     suffix = path.rstrip("/").rpartition(".")[2].lower()
@@ -62,19 +61,13 @@ def load_any(spark: SparkSession, path: str, schema: str | T.StructType | None =
     if suffix in ("xlsx", "xls"):
         return excel(spark, path)
     if suffix in ("csv", "txt"):
-        return csv(spark, path, schema)
+        return csv(spark, path, schema, as_text)
     raise ValueError(f"no reader for {path}")
 
 
 def optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The file, or an empty frame with the schema where there is none."""
-    empty = spark.createDataFrame([], schema)
-    if not exists(spark, path):
-        return empty
-    try:
-        return load_any(spark, path, schema)
-    except AnalysisException:
-        return empty
+    """The file, or an empty frame with the schema where there is none. A file that can't be read is an error."""
+    return load_any(spark, path, schema) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def present(df: DataFrame, names: list[str]) -> DataFrame:
@@ -88,10 +81,9 @@ def named_files(spark: SparkSession, paths: list[str], schema: str, pattern: str
     return df.where(F.col(column).isin(*manifest)) if manifest is not None else df
 
 
-def config(path: str) -> dict:
-    """A small YAML or JSON settings file, read on the driver."""
-    with open(path, encoding="utf-8") as f:
-        text = f.read()
+def config(spark: SparkSession, path: str) -> dict:
+    """A small YAML or JSON settings file, from any store that Spark reads."""
+    text = spark.read.text(path, wholetext=True).first()[0]
     if path.endswith(".json"):
         import json
 

@@ -51,7 +51,7 @@ def play_records(pages: DataFrame, id_col: str, url: str, body: str) -> DataFram
         pages.select(
             F.lit("PlayStore").alias("store"), F.col(id_col).alias("id"), html.page_title(b).alias("title"), text.developer_name(html.value_after(b, "Offered By")).alias("developer"),
             html.value_after(b, "Category").alias("category"), avg.alias("rating_avg"), count.alias("rating_count"), numbers.scaled(html.value_after(b, "Downloads")).alias("installs_or_users"),
-            html.value_after(b, "In-app purchases").alias("pricing_raw"), least.alias("iap_min"), most.alias("iap_max"), n.alias("iap_count"), html.external_link(b).alias("website_url"),
+            html.value_after(b, "In-app purchases").alias("pricing_raw"), least.alias("iap_min"), most.alias("iap_max"), n.alias("iap_count"), html.website(b).alias("website_url"),
             F.col(url).alias("store_url"), html.section(shown).alias("description"), dates.iso_or_raw(html.value_after(b, "Released on")).alias("release_date"),
             dates.iso_or_raw(html.value_after(b, "Updated on")).alias("last_update"), html.value_after(b, "Version").alias("version"), html.icon(b).alias("icon_url"),
         )
@@ -69,7 +69,7 @@ def cws_records(pages: DataFrame, id_col: str, url: str, body: str) -> DataFrame
             F.lit("ChromeWS").alias("store"), F.col(id_col).alias("id"), F.coalesce(jsonx.first_field(ld, "name"), html.page_title(b)).alias("title"),
             text.developer_name(F.coalesce(jsonx.field(ld, "$.author.name"), html.value_after(b, "Offered by"))).alias("developer"), F.coalesce(jsonx.field(ld, "$.applicationCategory"), html.value_after(b, "Category")).alias("category"),
             F.coalesce(jsonx.field(ld, "$.aggregateRating.ratingValue", "double"), avg).alias("rating_avg"), F.coalesce(jsonx.field(ld, "$.aggregateRating.ratingCount", "bigint"), count).alias("rating_count"),
-            numbers.users(shown).alias("installs_or_users"), jsonx.field(ld, "$.offers.price").alias("pricing_raw"), html.external_link(b).alias("website_url"), F.col(url).alias("store_url"),
+            numbers.users(shown).alias("installs_or_users"), jsonx.field(ld, "$.offers.price").alias("pricing_raw"), F.coalesce(html.web_url(jsonx.field(ld, "$.author.url")), html.website(b)).alias("website_url"), F.col(url).alias("store_url"),
             F.coalesce(jsonx.first_field(ld, "description"), html.section(shown)).alias("description"), dates.iso_or_raw(html.value_after(b, "Updated")).alias("last_update"),
             F.coalesce(jsonx.field(ld, "$.softwareVersion"), html.value_after(b, "Version")).alias("version"), html.icon(b).alias("icon_url"),
         )
@@ -92,13 +92,17 @@ def ios_records(payloads: DataFrame, body: str) -> DataFrame:
 
 
 def records(candidates: DataFrame, extractors: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(records, candidates without one): each store's candidates go to its extractor's records."""
+    """(records, candidates without one, with the column ``failure``): each store's candidates go to its extractor's records.
+    A candidate fails for want of an id, of an extractor for its store, of a stored page, or of a title on the page."""
     every = None
     for store, got in extractors.items():
         mine = candidates.where(F.col("store") == store).select("store", "id").distinct()
         part = got.join(mine, ["store", "id"], "left_semi")
         every = part if every is None else every.unionByName(part)
-    return every, candidates.join(every.select("store", "id").distinct(), ["store", "id"], "left_anti")
+    seen = every.groupBy("store", "id").agg(F.max(F.col("title").isNotNull()).alias("__titled"))
+    why = F.when(F.col("id").isNull(), "no id").when(~F.coalesce(F.col("store").isin(*extractors), F.lit(False)), "unknown store").when(F.col("__titled").isNull(), "no page").when(~F.col("__titled"), "no title")
+    failed = candidates.join(seen, ["store", "id"], "left").withColumn("failure", why).drop("__titled").where("failure is not null")
+    return every.where("title is not null"), failed
 
 
 def ios_reviews(payloads: DataFrame, app_id: str, country: str, body: str) -> DataFrame:
