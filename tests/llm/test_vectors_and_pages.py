@@ -20,17 +20,44 @@ def brute_top(rows, k):
     return out
 
 
-@pytest.mark.parametrize("shard, block, group", [(8192, 1024, 4), (40, 3, 2)])
-def test_top_k(spark, shard, block, group):
+@pytest.mark.parametrize("shard, block, group, slice_", [(8192, 1024, 4, 64), (40, 3, 2, 4)])
+def test_top_k(spark, shard, block, group, slice_):
     rng = np.random.default_rng(4)
     rows = [(i, [float(c) for c in rng.normal(size=6)]) for i in range(400)]
     rows += [(i, [0.5] * 6) for i in range(400, 700)]  # ties
     rows += [(1000, None), (1020, [None] * 6), (1040, [float("nan")] * 6), (1060, [float("inf")] * 6), (None, [9.0] * 6), (1080, [])]
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, id int")
-    got = topk_search.top_k(df, "id % 20 = 0", 20, shard=shard, block=block, group=group).collect()
+    got = topk_search.top_k(df, "id % 20 = 0", 20, shard=shard, block=block, group=group, slice_=slice_).collect()
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute_top(rows, 20)
 
 
+@pytest.mark.parametrize("size", [3e5, 2e7])
+def test_top_k_beyond_exact_doubles(spark, size):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(c) for c in rng.integers(-size, size, 3)]) for i in range(200)]
+    rows += [(i, [size, size + (i - 200) / 64, -size]) for i in range(200, 240)]  # scores that are apart by less than a double tells
+    want = brute_exact(rows, 20)
+    assert max(abs(s) for *_, s in want) > 2 ** (40 if size < 1e6 else 53)
+    got = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "id % 20 = 0", 20, shard=50, block=4).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == want
+
+
+def brute_exact(rows, k):
+    x = {i: [int(np.floor(64 * c)) for c in v] for i, v in rows}
+    out = []
+    for q in sorted(i for i in x if i % 20 == 0):
+        best = sorted((-sum(a * b for a, b in zip(x[q], v)), i) for i, v in x.items() if i != q)[:k]
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    return out
+
+
+def test_top_k_refuses_scores_beyond_64_bits(spark):
+    for big in (3e9, 1e300):
+        df = spark.createDataFrame([(20, [big, 1.0]), (40, [big, 2.0])], "vec_id long, embedding array<double>")
+        with pytest.raises(ValueError, match="64 bits"):
+            topk_search.top_k(df, "id % 20 = 0", 20)
+
+
 def test_top_k_with_few_rows(spark):
     df = spark.createDataFrame([(20, [1.0]), (40, [2.0])], "vec_id long, embedding array<double>")
     got = topk_search.top_k(df, "id % 20 = 0", 20).collect()
@@ -78,7 +105,11 @@ def test_archives_are_plain_warc_and_payloads_come_back(spark, sf):
     root = folder.removeprefix("file:")
     name = shards.first()["name"]
     raw = gzip.open(f"{'/' + root.lstrip('/')}/{name}.warc.gz").read()
-    assert raw.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") and raw.count(b"\r\nWARC-Record-ID: ") == shards.where(f"name = '{name}'").first()["records"]
+    import re
+
+    ids = re.findall(rb"\r\nWARC-Record-ID: (<urn:uuid:[0-9a-f-]{36}>)\r\n", raw)
+    assert raw.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") and len(ids) == len(set(ids)) == shards.where(f"name = '{name}'").first()["records"] + 1
+    assert b"\r\nContent-Type: application/warc-fields\r\n" in raw
     missing = spark.createDataFrame([("zzz",), ("",), ("com,example)/none 0",)], "key string")
     assert warc_store.look_up(missing, folder, shards).count() == 0
 

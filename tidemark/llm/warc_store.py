@@ -13,7 +13,8 @@ and the others as revisits that refer to it; shorter ones are all responses.
 
 A null payload is an empty one; a null URL has an empty key; a capture with a null page id is always a response and no
 other refers to it. Repeated rows (also of one page id) are written and found one by one; of equal payloads all rows with the largest
-id are responses. An empty table gives an empty table. Columns that aren't named are not read.
+id are responses. A payload, however long, is one record, held whole with a few times its bytes while it is written or read.
+An empty table gives an empty table. Columns that aren't named are not read.
 """
 
 from __future__ import annotations
@@ -51,30 +52,42 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def record(kind: str, page: int | None, url: str, payload: bytes, digest: str, refers: int | None) -> bytes:
-    """One record, uncompressed."""
+def record(kind: str, page: int | None, url: str, payload: bytes, digest: str, refers: int | None, name: str = "", n: int = 0) -> bytes:
+    """One record, uncompressed; ``name`` and ``n`` are its archive and its number there, which make its id unique. Page ids
+    stand in a field of their own, since they may repeat."""
     b32 = base64.b32encode(bytes.fromhex(digest)).decode()
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     block = http + (payload if kind == "response" else b"")
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page is None else page}>", f"WARC-Date: {DATE}", "WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A")]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id(name, n)}>", f"X-Page: {'' if page is None else page}", f"WARC-Date: {DATE}", "WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A")]
     head += [f"WARC-Payload-Digest: sha1:{b32}", f"X-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response"]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers}"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def record_id(name: str, n: int) -> str:
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}/{n}')}"
+
+
+def info(name: str) -> bytes:
+    """The record that an archive begins with."""
+    body = b"software: tidemark\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <{record_id(name, -1)}>", f"WARC-Date: {DATE}", f"WARC-Filename: {name}.warc.gz", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
 def parsed(raw: bytes) -> dict:
     """A record as the reader returns it; a response's payload is checked against its digest."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     fields = dict(x.split(": ", 1) for x in lines[1:])
     block = rest[: int(fields["Content-Length"])]
-    page = fields["WARC-Record-ID"][len("<urn:page:") : -1]
+    page = fields["X-Page"]
     digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
     out = {"page_id": int(page) if page else None, "payload_bytes": int(fields["X-Payload-Length"]), "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": None, "payload": None}
     if out["record_type"] == "revisit":
-        out["refers_to"] = int(fields["WARC-Refers-To"][len("<urn:page:") : -1])
+        out["refers_to"] = int(fields["X-Refers-To-Page"])
     else:
         out["payload"] = block.partition(b"\r\n\r\n")[2]
         if hashlib.sha1(out["payload"]).hexdigest() != digest or len(out["payload"]) != out["payload_bytes"]:
@@ -104,13 +117,13 @@ def _writer(folder: str):
                 if archive is None:
                     files.create_dir(root, recursive=True)
                     archive, index = files.open_output_stream(f"{root}/{name}.warc.gz", compression=None), files.open_output_stream(f"{root}/{name}.idx", compression=None)
-                    info = gzip.compress(b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Date: " + DATE.encode() + b"\r\nContent-Length: 0\r\n\r\n\r\n\r\n", mtime=0)
-                    archive.write(info)
-                    at, first = len(info), r.key
+                    start = gzip.compress(info(name), mtime=0)
+                    archive.write(start)
+                    at, first = len(start), r.key
                 refers = None if pd.isna(r.original) else int(r.original)
                 page = None if pd.isna(r.page) else int(r.page)
                 kind = "revisit" if refers is not None and page is not None and refers != page else "response"
-                member = gzip.compress(record(kind, page, r.url, bytes(r.payload), r.digest, refers), 6, mtime=0)
+                member = gzip.compress(record(kind, page, r.url, bytes(r.payload), r.digest, refers, name, n), 6, mtime=0)
                 archive.write(member)
                 entries.append(f"{at}\t{len(member)}\t{r.key}")
                 at, last, n = at + len(member), r.key, n + 1
