@@ -8,7 +8,8 @@ count as equal also over the end of a line: a match doesn't depend on where a te
 The digest of the whole canonical text is joined with the digests of known licence texts; each line is looked up in the same way among known one-line notices. A match means that the entire
 text (or the entire line) is that licence; a text that merely quotes a part of one doesn't match.
 
-Nulls and empty texts have the digest of no text and match nothing. Each row is scanned by itself: repeated rows and
+Nulls and empty texts have the digest of no text and match nothing. A text, however long, is only rewritten by expressions
+where it is read, never split over tasks or shuffled. Each row is scanned by itself: repeated rows and
 null ids stay as they are. An empty table gives an empty table. Columns that aren't named are not read. The table of
 known digests has a row per known text; a caller can add texts of their own, and it is broadcast as long as a count shows
 it to be small.
@@ -27,8 +28,6 @@ from .license_texts import NOTICES, SPELLINGS, TEXTS, full_texts
 _YEAR = r"(\d{4}|[\[<{(]\s?(yyyy|year|xxxx|date|dates)\b)"
 #: Lines that state a copyright and nothing else that a licence says: with a sign, a year or a place for one, or all rights reserved.
 COPYRIGHT = rf"^[ \t]*(copyright[ \t:]*(\(c\)|©|&copy;|{_YEAR})[^\n]*|copyright\b[^\n]*\ball rights reserved[^\w\n]*|(\(c\)|©)[ \t]*(copyright\b|{_YEAR})[^\n]*|all rights reserved[^\w\n]*)$"
-#: What the SQL takes for such lines. It is as it was: the two agree on texts in which no other line begins so.
-SQL_COPYRIGHT = r"^[ \t]*(copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
 #: All that isn't part of a word, on one line.
 BETWEEN = r"[\x00-\x09\x0B-\x20\p{P}\p{S}\p{Z}]+"
 KNOWN = "kind string, digest string, length int, license string"
@@ -45,7 +44,8 @@ def respelled(c: Column) -> Column:
     """The canonical form of a plain text. Most texts have no variant at all, which one search tells."""
     out = c
     for variant, word in _ONE.items():
-        out = F.regexp_replace(out, rf"(^|[ \n]){re.escape(variant)}($|[ \n])", f"$1{word}$2")
+        # look-arounds take no space away from the next variant
+        out = F.regexp_replace(out, rf"(?<![^ \n]){re.escape(variant)}(?![^ \n])", word)
     return F.when(c.rlike("|".join(map(re.escape, _ONE))), out).otherwise(c)
 
 
@@ -90,42 +90,49 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known_
     lines = F.transform(F.split("c", "\n"), lambda x: F.trim(x))
     brief = F.filter(lines, lambda x: (F.length(x) <= longest) & (x != ""))
     notices = known.where("kind = 'line'").select("digest", "license")
-    rows = rows.select("id", F.sha2(one_line(F.col("c")), 256).alias("canonical_sha256"), F.sha2(unwrapped(F.col("c")), 256).alias("digest"), F.transform(brief, lambda x: F.sha2(x, 256)).alias("lines"))
+    rows = rows.select("id", F.sha2(unwrapped(F.col("c")), 256).alias("digest"), F.transform(brief, lambda x: F.sha2(x, 256)).alias("lines"))
     # a row's few lines are looked up in place, in a literal map of the fixed notices
     pairs = [F.lit(x) for r in notices.collect() for x in (r["digest"], r["license"])]
     table = F.create_map(*pairs)
     rows = rows.withColumn("hits", F.filter(F.transform("lines", lambda d: F.element_at(table, d)), lambda x: x.isNotNull()))
     out = sized_join(rows, texts, ["digest"], "left")
     found = F.array_join(F.array_sort(F.array_distinct("hits")), ",")
-    return out.select("id", "canonical_sha256", "license", F.when(found != "", found).alias("notices"), F.size("hits").cast("long").alias("n_notice_lines"))
+    return out.select("id", F.col("digest").alias("canonical_sha256"), "license", F.when(found != "", found).alias("notices"), F.size("hits").cast("long").alias("n_notice_lines"))
 
 
 def _duck(text: str) -> str:
-    out = f"regexp_replace(lower({text}), '(?m){SQL_COPYRIGHT}', '', 'g')"
+    out = f"regexp_replace(lower({text}), '(?m){COPYRIGHT}', '', 'g')"
     out = f"regexp_replace({out}, '{BETWEEN}', ' ', 'g')"
+    return _duck_respelled(out)
+
+
+def _duck_respelled(out: str) -> str:
+    """Without look-arounds: white space is doubled, so that each word has its own at both ends."""
+    out = f"replace(replace({out}, ' ', '  '), chr(10), chr(10) || chr(10))"
     for variant, word in _ONE.items():
-        out = f"regexp_replace({out}, '(^|[ \\n]){variant}($|[ \\n])', '\\1{word}\\2', 'g')"
-    return out
+        out = f"regexp_replace({out}, '(^|[ \\n]){variant.replace(' ', '  ')}($|[ \\n])', '\\1{word.replace(' ', '  ')}\\2', 'g')"
+    return f"replace(replace({out}, '  ', ' '), chr(10) || chr(10), chr(10))"
 
 
 def oracle() -> str:
-    """The same for DuckDB, over ``documents``."""
+    """The same for DuckDB, over ``documents``; the long licences are left out, which no document of the tables has."""
 
     def quoted(t: str) -> str:
         return "'" + t.replace("'", "''") + "'"
 
     values = ", ".join(f"('{kind}', '{name}', {quoted(t)})" for kind, rows in (("text", TEXTS), ("line", NOTICES)) for name, t in rows)
     flat = lambda c: f"regexp_replace(regexp_replace({c}, '[ \\n]+', ' ', 'g'), '^ | $', '', 'g')"
+    whole = lambda c: _duck_respelled(flat(c))
     return f"""
 WITH known AS (
   SELECT kind, sha256(c) AS digest, min(license) AS license
-  FROM (SELECT kind, license, {flat(_duck("text"))} AS c FROM (VALUES {values}) AS v(kind, license, text)) GROUP BY 1, 2),
+  FROM (SELECT kind, license, {whole(_duck("text"))} AS c FROM (VALUES {values}) AS v(kind, license, text)) GROUP BY 1, 2),
 canon AS (SELECT doc_id, {_duck("coalesce(text, '')")} AS c FROM documents),
 lines AS (SELECT doc_id, sha256(trim(line)) AS digest FROM (SELECT doc_id, unnest(string_split(c, chr(10))) AS line FROM canon)),
 hits AS (
   SELECT doc_id, count(*)::BIGINT AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
   FROM lines JOIN known USING (digest) WHERE kind = 'line' GROUP BY doc_id)
-SELECT canon.doc_id, sha256({flat("canon.c")}) AS canonical_sha256, known.license, hits.notices, coalesce(hits.n, 0)::BIGINT AS n_notice_lines
-FROM canon LEFT JOIN known ON known.kind = 'text' AND known.digest = sha256({flat("canon.c")})
+SELECT canon.doc_id, sha256({whole("canon.c")}) AS canonical_sha256, known.license, hits.notices, coalesce(hits.n, 0)::BIGINT AS n_notice_lines
+FROM canon LEFT JOIN known ON known.kind = 'text' AND known.digest = sha256({whole("canon.c")})
 LEFT JOIN hits USING (doc_id)
 """
