@@ -3,15 +3,19 @@
 The rows of each source are shuffled by a seeded hash and cut into blocks. The j-th block (from 1) of a source with
 weight w is released at floor((j - 1) / w) and due at ceil(j / w); at each time the released block with the earliest
 deadline is placed. So after every slot each source has had within less than one block of its due share. Weights are
-exact: whole numbers in the ratio of the targets. The schedule repeats after as many slots as they add up to, or a source
-is used up before; no more than that is computed outside Spark, with an entry per block at most, and a block's slot follows
-from its number by a join with that table, which is broadcast only where a count shows that it is small.
+exact: whole numbers in the ratio of the targets. The schedule repeats after as many slots as they add up to; only one such
+period (or less, where a source is used up before) is computed outside Spark, and a block's slot follows from its number
+by a join with that table, which is broadcast only where it is measured to be small. Weights whose period is longer than
+``MOST`` slots are refused, with the advice to round them (``whole_weights``).
 
 Every row is placed exactly once. When a source is used up a new phase begins, with the weights of the others scaled
-up; the bound holds within each phase. There are as many phases as sources at most.
+up; the bound holds within each phase. There are as many phases as sources at most; sources, a row each on the driver, may
+be some thousands.
 
-Nulls: a null source is a source of its own, with its own weight; null ids and repeated rows are rows like others. The
-last block of a source may be shorter. An empty table gives an empty table. Sources without a weight get the least
+Nulls: a null source is a source of its own, with its own weight; null ids and repeated rows are rows like others. Rows of
+one source are shuffled by a hash of their ids, those without an id by a hash of all their columns; ties are ordered by id
+and all columns, so only rows that are equal in every column can change places. Texts, however long, are carried and never
+looked into but for that hash. The last block of a source may be shorter. An empty table gives an empty table. Sources without a weight get the least
 weight. Added columns are named by the caller (``slot_col``, ...), so clashing names can be avoided.
 """
 
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .base import SEED, null_safe_key, ranked_within, sized_join, written
 
-PARTS, BLOCK = 1000, 32
+PARTS, BLOCK, MOST = 1000, 32, 4_000_000
 
 
 def exact_weights(weights: dict[str, float]) -> dict[str, int]:
@@ -58,6 +62,8 @@ def period(weights: dict[str, int], until: int | None = None) -> dict[str, list[
     """For each source the slots of its blocks in one period, or in its first ``until`` slots, by earliest deadline first
     among released blocks."""
     parts = sum(weights.values())
+    if (parts if until is None else min(parts, until)) > MOST:
+        raise ValueError(f"a schedule with these weights repeats after {parts} slots only, more than {MOST}; round them with whole_weights")
     slots: dict[str, list[int]] = {s: [] for s in weights}
     waiting = [(0, -(-parts // n), s) for s, n in weights.items()]  # release, deadline, source
     heapq.heapify(waiting)
@@ -102,15 +108,17 @@ def phases(blocks: dict[str, int], weights: dict[str, float]) -> list[dict]:
 def scheduled(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", phase_col: str = "phase", block_col: str = "block", slot_col: str = "slot", pos_col: str = "pos") -> DataFrame:
     """The rows with their phase, block (of the source, from 0), slot (from 0) and place within the block (from 0).
 
-    ``weights``: target weight of each source, kept exactly; by default the square root of its number of rows (in whole
-    hundredths), which lifts small sources over their share.
+    ``weights``: target weight of each source, kept exactly; by default the square roots of their numbers of rows, in whole
+    parts of ``PARTS`` and one at least, which lift small sources over their share.
     """
     spark = docs.sparkSession
-    rows = docs.withColumn("__src", null_safe_key(F.col(source_col))).withColumn("__h", F.xxhash64(F.lit(seed), F.col(id_col)))
+    whole = F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.withColumn("__src", null_safe_key(F.col(source_col))).withColumn("__w", whole)
+    rows = rows.withColumn("__h", F.when(F.col(id_col).isNull(), F.col("__w")).otherwise(F.xxhash64(F.lit(seed), F.col(id_col))))
     counts = {r["__src"]: r["n"] for r in rows.groupBy("__src").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per source
     schema = "phase int, __src string, first long, blocks long, start long, length long, parts long"
     if weights is None:
-        target = {s: math.isqrt(10_000 * n) for s, n in counts.items()}
+        target = whole_weights({s: math.sqrt(n) for s, n in counts.items()}) if counts else {}
     else:
         named = {"null" if s is None else f"={s}": w for s, w in weights.items()}
         target = {s: named.get(s, min(named.values())) for s in counts}
@@ -120,7 +128,7 @@ def scheduled(docs: DataFrame, weights: dict[str | None, float] | None = None, b
     when = spark.createDataFrame([(p["phase"], p["src"], p["first"], p["blocks"], p["start"], min(p["length"], most), min(p["parts"], most)) for p in plan], schema)
     lists = spark.createDataFrame([(p["phase"], p["src"], p["slots"]) for p in plan], "phase int, __src string, slots array<long>")
     where = written(lists.select("phase", "__src", F.posexplode("slots").alias("k", "__t")), "slots")
-    ranked = ranked_within(rows, "__src", "__h", [id_col], "__rank", "__total")
+    ranked = ranked_within(rows, "__src", "__h", [id_col, "__w"], "__rank", "__total")
     ranked = ranked.withColumn("__block", F.expr(f"(__rank - 1) div {block}")).withColumn("__pos", F.expr(f"cast((__rank - 1) % {block} as int)"))
     own = when.withColumnsRenamed({"phase": "__phase", "first": "__first", "blocks": "__blocks", "start": "__start", "length": "__length", "parts": "__parts"})
     inside = (F.col("__block") >= F.col("__first")) & (F.col("__block") < F.col("__first") + F.col("__blocks"))

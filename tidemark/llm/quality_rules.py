@@ -10,8 +10,9 @@ in which rows are added. Groups of fewer than ``min_group`` documents that pass
 as small as that into one.
 
 Nulls: a null text has no words and fails the base rules; null languages and sources are groups of their own; rows with
-null or repeated ids are judged like others. An empty table gives an empty table. Very long texts are read in bounded
-slices; equal vectors get equal verdicts, ties included. Columns that aren't named are not read.
+null or repeated ids are judged like others. An empty table gives an empty table. Texts are read in slices of about two
+million characters; a longer text is held whole, with about 15 times its bytes, by the task that reads it. Equal vectors
+get equal verdicts, ties included. Columns that aren't named are not read.
 """
 
 from __future__ import annotations

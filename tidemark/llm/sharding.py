@@ -6,7 +6,9 @@ that order give shards that all match the mixture, with row counts at most one a
 
 Nulls: a null source is a source of its own; a null text has no bytes (its CRC is that of no bytes); null ids are rows
 like others. Repeated rows are kept apart and each gets its own slot. An empty table gives an empty table. Columns that
-aren't named are not read, so clashing names do no harm. Equal texts may fall into different shards: with counts at
+aren't named are not read, so clashing names do no harm. Rows are ordered by hash, then id, CRC and size: only rows that are
+equal in all of these can change places, and those of one source share a bucket of the hash. A text, however long, is only
+measured and hashed where it is read. Equal texts may fall into different shards: with counts at
 most one apart a group of copies larger than a shard can't stay whole.
 """
 
