@@ -11,9 +11,15 @@ Three passes, none of which shuffles texts:
 
 A chunk may begin and end inside a word, so its first and last pieces up to white space are never reused: they are
 joined with what stands beside them and encoded again, and if that has no white space either, with what stands beside
-that, until the seam lies between white space. The tokenizer's own splitting never looks across white space, so from
-there the tokens agree exactly with those of the whole text. Chunks beyond the bound are encoded wherever they occur,
-with the same result.
+that, until the seam lies at white space. Then each seam is checked: the words at its two sides are encoded as one string,
+and must give exactly the tokens that the two sides have by themselves. Where they don't, the whole text is encoded again
+instead. Chunks beyond the bound are encoded wherever they occur, with the same result.
+
+Words between white space are encoded one by one only if the tokenizer's own rules, read when it is loaded, can't look
+across white space (``parts_words``); with any other tokenizer no chunk is reused and every text is encoded whole.
+
+Memory of a worker: words and their tokens are remembered up to ``MEMO`` bytes, chunks written out up to ``SEEN`` bytes,
+and both are dropped at the end of a task. A very long text is held whole, with about ten times its bytes.
 
 Nulls and empty texts have no tokens. Repeated rows and null ids are encoded row by row (an id that repeats may own no
 chunk if its texts differ: the digest is checked). An empty table gives an empty table; columns not named are not read.
@@ -38,8 +44,10 @@ from .base import slices, tuned, written
 LEAST, MOST, BITS, DICTIONARY = 256, 4096, 10, 16_384
 _GEAR = (np.random.default_rng(12345).integers(0, 1 << 32, 256, dtype=np.uint64)).astype(np.uint32)
 _M = 0x2545F491
-#: Words kept with their tokens in a task.
-MEMO = 500_000
+#: Bytes (estimated) of words kept with their tokens, and of chunks' tokens written out, in a task.
+MEMO, SEEN = 80 << 20, 32 << 20
+#: What an entry takes besides its bytes, and checked seams that are remembered.
+ENTRY, SEAMS = 280, 50_000
 
 
 def rolling(buf: np.ndarray) -> np.ndarray:
@@ -77,11 +85,12 @@ def cuts(raw: bytes) -> list[int]:
 LETTERS = re.compile(rb"([A-Za-z]+)([!-&(-/:;=?@\[-`{-~]*)").fullmatch
 
 
-def splits_letters(config: dict) -> bool:
-    """Whether a tokenizer's own rules lower the case and part a run of letters from the run of signs after it.
+def parts_words(config: dict) -> bool:
+    """Whether a tokenizer's own rules keep words between white space apart: signs are composed and cases lowered one by one,
+    and its pieces are runs of letters, single digits and runs of signs, none of them white space.
 
-    Then the library's model can be asked for such words' two pieces directly; all other words go through the whole
-    library.
+    Such rules part a run of letters from the run of signs after it, too, so the library's model can be asked for these
+    two pieces directly; all other words go through the whole library.
     """
     kinds = [n["type"] for n in (config.get("normalizer") or {}).get("normalizers", [])]
     steps = (config.get("pre_tokenizer") or {}).get("pretokenizers", [])
@@ -100,15 +109,14 @@ class Codec:
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.memo: dict[bytes, tuple[int, bytes, bytes, tuple]] = {}
-        self.whole = self.lib.decoder is not None  # else a decoded text is its tokens, joined by one space
+        self.forget()
+        # a decoded text without a decoder is its tokens, joined by one space
+        self.parts = self.lib.decoder is None and parts_words(json.loads(self.lib.to_str()))
         size = max(self.lib.get_vocab(with_added_tokens=True).values()) + 1
-        self.number = [str(i).encode() for i in range(size)]
-        self.token = [(self.lib.id_to_token(i) or "").encode() for i in range(size)]
+        self.number = [b" %d" % i for i in range(size)]
+        self.token = [b" " + (self.lib.id_to_token(i) or "").encode() for i in range(size)]
         special = [(t.content.encode(), i) for i, t in self.lib.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
         self.mark, self.mark_id = special[0] if special else (None, None)
-        self.pieces: dict[bytes, tuple] = {}
-        self.plain = LETTERS if splits_letters(json.loads(self.lib.to_str())) else None
 
     def _encode(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each word. Words are joined by a special token, which the library takes out of a text first of all."""
@@ -121,55 +129,77 @@ class Codec:
             at = end + 1
         return [*out, ids[at:]]
 
+    def forget(self) -> None:
+        """Drop all that is remembered."""
+        self.memo: dict[bytes, tuple[int, bytes, bytes]] = {}
+        self.older: dict[bytes, tuple[int, bytes, bytes]] = {}  # words that weren't needed since the memo was last full
+        self.held = 0  # bytes in the memo
+        self.seams: set[bytes] = set()
+
+    def _keep(self, word: bytes, entry: tuple) -> tuple:
+        self.memo[word] = entry
+        self.held += len(word) + len(entry[1]) + len(entry[2]) + ENTRY
+        return entry
+
     def _learn(self, missing: list[bytes]) -> None:
-        if len(self.memo) + len(missing) > MEMO:
-            self.memo = {}
-        if self.plain is not None:
-            rest = []
-            for w in missing:
-                if m := self.plain(w):
-                    self.memo[w] = self._two(m[1].lower(), m[2])
-                else:
-                    rest.append(w)
-            missing = rest
-        plain = [w for w in missing if self.mark is None or self.mark not in w]
-        marked = [w for w in missing if self.mark is not None and self.mark in w]
+        rest = []
+        for w in missing:
+            if (entry := self.older.pop(w, None)) is not None:
+                self._keep(w, entry)
+            elif m := LETTERS(w):
+                letters, signs = m[1].lower(), m[2]
+                entry = self._piece(letters)
+                if signs:
+                    tail = self._piece(signs)
+                    entry = (entry[0] + tail[0], entry[1] + tail[1], entry[2] + tail[2])
+                if signs or w != letters:
+                    self._keep(w, entry)
+            else:
+                rest.append(w)
+        plain = [w for w in rest if self.mark is None or self.mark not in w]
+        marked = [w for w in rest if self.mark is not None and self.mark in w]
         for at in range(0, len(plain), 500):
             part = plain[at : at + 500]
             for word, ids in zip(part, self._encode(part)):
-                self.memo[word] = self.entry(ids)
+                self._keep(word, self.entry(ids))
         for w in marked:
-            self.memo[w] = self.entry(self.lib.encode(w.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids)
+            self._keep(w, self.entry(self.whole(w.decode("utf-8", "surrogatepass"))))
 
-    def _piece(self, piece: bytes) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) > MEMO // 4:
-                self.pieces = {}
-            ids = self.pieces[piece] = [t.id for t in self.lib.model.tokenize(piece.decode())]
-        return ids
+    def _piece(self, piece: bytes) -> tuple:
+        """The entry of a run of small letters or of signs, which is a word of its own."""
+        return self.memo.get(piece) or self._keep(piece, self.older.pop(piece, None) or self.entry([t.id for t in self.lib.model.tokenize(piece.decode())]))
 
-    def _two(self, letters: bytes, signs: bytes) -> tuple:
-        return self.entry(self._piece(letters) + self._piece(signs) if signs else self._piece(letters))
+    def whole(self, text: str) -> list[int]:
+        return self.lib.encode(text, add_special_tokens=False).ids
 
     def entry(self, ids: list[int]) -> tuple:
-        """Number of tokens, decimal ids, decoded text, and the ids themselves where decoding needs all of a text's."""
-        if self.whole:
-            return len(ids), b"", b"", tuple(ids)
-        return len(ids), b" ".join([self.number[i] for i in ids]), b" ".join([self.token[i] for i in ids]), ids
+        """Number of tokens; decimal ids and decoded text, a space before each token."""
+        return len(ids), b"".join([self.number[i] for i in ids]), b"".join([self.token[i] for i in ids])
 
     def known(self, parts: list[list[bytes]]) -> dict:
-        """A memo that has all these words."""
-        missing = {w for p in parts for w in p if w not in self.memo}
+        """A memo that has all these words. Of a full one the words that come again stay."""
+        if self.held > MEMO // 2:
+            self.memo, self.older, self.held = {}, self.memo, 0
+        memo = self.memo
+        missing = {w for p in parts for w in p if w not in memo}
         if missing:
-            if len(self.memo) + len(missing) > MEMO:
-                missing = {w for p in parts for w in p}
             self._learn(list(missing))
-        return self.memo
+        return memo
 
     def ids(self, words: list[bytes]) -> list[int]:
         memo = self.known([words])
-        return [i for w in words for i in memo[w][3]]
+        return [int(i) for w in words for i in memo[w][1].split()]
+
+    def agrees(self, left: bytes, between: bytes, right: bytes) -> bool:
+        """Whether two words with white space between them, encoded as one string, have the tokens that they have alone."""
+        seam = left + between + right
+        if seam in self.seams:
+            return True
+        if self.whole(seam.decode("utf-8", "surrogatepass")) != self.ids([left, right]):
+            return False
+        if len(self.seams) < SEAMS:
+            self.seams.add(seam)
+        return True
 
     def written_out(self, ids: list[int]) -> tuple[bytes, bytes]:
         return " ".join(map(str, ids)).encode(), self.lib.decode(ids, skip_special_tokens=False).encode()
@@ -197,48 +227,67 @@ def inner(chunk: bytes) -> tuple[bytes, bytes, bytes] | None:
     return chunk[:a], chunk[a:b], chunk[b:]
 
 
-def encode_with(c: Codec, raw: bytes, known: dict[bytes, tuple]) -> list:
-    """A text as a list of words to encode and of entries of ``known`` chunks to reuse, in order."""
+SPACE = re.compile(rb"\s*").match
+
+
+def encode_with(c: Codec, raw: bytes, known: dict[bytes, tuple]) -> list | None:
+    """A text as a list of words to encode and of entries of ``known`` chunks to reuse, in order; None if a seam disagrees."""
     out: list = []
-    at, held = 0, 0  # held: where text that isn't encoded yet begins
+    at, held, before = 0, 0, b""  # held: where text that isn't encoded yet begins; before: the word that ends there
     for end in cuts(raw):
         chunk = raw[at:end]
         entry = known.get(xxhash.xxh3_128_digest(chunk))
         if entry is not None:
             parts = inner(chunk)
-            out += raw[held : at + len(parts[0])].split()
+            a, b = at + len(parts[0]), end - len(parts[2])
+            words = raw[held:a].split()
+            # a seam where reuse begins and, if the text before it is encoded anew, one where the last reuse ended
+            for left, right, gap in ((before, words[0] if words else b"", held), (words[-1] if words else before, parts[1].split(None, 1)[0], a)):
+                if left and right and not c.agrees(left, SPACE(raw, gap)[0] or b" ", right):
+                    return None
+            out += words
             out.append(entry)
-            held = end - len(parts[2])
+            held, before = b, parts[1].rsplit(None, 1)[-1]
         at = end
-    out += raw[held:].split()
-    return out
+    words = raw[held:].split()
+    if before and words and not c.agrees(before, SPACE(raw, held)[0] or b" ", words[0]):
+        return None
+    return out + words
 
 
 def encode_batch(c: Codec, texts: list[str | None], known: dict[bytes, tuple]) -> Iterator[tuple[int, str, str]]:
     """For each text the number of tokens and the digests of the ids and of the decoded text."""
-    plans = [encode_with(c, t.encode("utf-8", "surrogatepass") if t else b"", known) for t in texts]
-    memo = c.known([[w for w in p if type(w) is bytes] for p in plans])
-    for p in plans:
-        got = [memo[x] if type(x) is bytes else x for x in p]
-        got = [g for g in got if g[0]]
-        if c.whole:
-            ids, text = c.written_out([i for g in got for i in g[3]])
+    plans = [encode_with(c, t.encode("utf-8", "surrogatepass") if t else b"", known) if c.parts else None for t in texts]
+    memo = c.known([[w for w in p if type(w) is bytes] for p in plans if p])
+    for p, t in zip(plans, texts):
+        if p is None:
+            got = c.whole(t or "")
+            n, (ids, text) = len(got), c.written_out(got)
         else:
-            ids, text = b" ".join([g[1] for g in got]), b" ".join([g[2] for g in got])
-        yield sum([g[0] for g in got]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()
+            got = [memo[x] if type(x) is bytes else x for x in p]
+            counts, ids, texts_ = zip(*got) if got else ((), (), ())
+            n, ids, text = sum(counts), b"".join(ids)[1:], b"".join(texts_)[1:]
+        yield n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()
 
 
 class Dictionary:
-    """Encoded chunks by digest; written out when first used in a task."""
+    """Encoded chunks by digest; written out when first used in a task, up to SEEN bytes at a time."""
 
     def __init__(self, rows: list[tuple[bytes, bytes]], path: str) -> None:
-        self.raw, self.path, self.seen = dict(rows), path, {}
+        self.raw, self.path = dict(rows), path
+        self.forget()
+
+    def forget(self) -> None:
+        self.seen: dict[bytes, tuple] = {}
+        self.held = 0
 
     def get(self, digest: bytes) -> tuple | None:
         entry = self.seen.get(digest)
         if entry is None and (raw := self.raw.get(digest)) is not None:
-            ids = np.frombuffer(raw, np.uint32).tolist()
-            entry = self.seen[digest] = codec(self.path).entry(ids)
+            if self.held > SEEN:
+                self.forget()
+            entry = self.seen[digest] = codec(self.path).entry(np.frombuffer(raw, np.uint32).tolist())
+            self.held += len(entry[1]) + len(entry[2]) + ENTRY
         return entry
 
 
@@ -265,16 +314,19 @@ def shared_chunks(docs: DataFrame, path: str, dictionary: int = DICTIONARY) -> D
     counted = rows.mapInPandas(digests, "digest binary, id long, at int, size int, n long").groupBy("digest").agg(F.sum("n").alias("n"), F.min(F.struct("id", "at", "size")).alias("own"))
     best = counted.where("n > 1").orderBy(F.desc(F.expr("(n - 1) * own.size")), "digest").limit(dictionary)
     owners = written(best.select("digest", "own.*"), "owners")
-    whole = F.encode("text", "UTF-8")
     pieces = rows.join(F.broadcast(owners), "id").select("digest", F.expr("substring(encode(text, 'UTF-8'), at + 1, size)").alias("chunk"))
 
     def encoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for d, chunk in zip(f["digest"], f["chunk"]):
-                if xxhash.xxh3_128_digest(bytes(chunk)) == bytes(d) and (parts := inner(bytes(chunk))):
-                    out.append((bytes(d), np.array(codec(path).ids(parts[1].split()), np.uint32).tobytes()))
-            yield pd.DataFrame(out, columns=["digest", "ids"])
+        c = codec(path)
+        try:
+            for f in frames:
+                out = []
+                for d, chunk in zip(f["digest"], f["chunk"]):
+                    if c.parts and xxhash.xxh3_128_digest(bytes(chunk)) == bytes(d) and (parts := inner(bytes(chunk))):
+                        out.append((bytes(d), np.array(c.ids(parts[1].split()), np.uint32).tobytes()))
+                yield pd.DataFrame(out, columns=["digest", "ids"])
+        finally:
+            c.forget()
 
     got = pieces.mapInPandas(encoded, "digest binary, ids binary").collect()  # at most ``dictionary`` rows
     return Dictionary([(bytes(r[0]), bytes(r[1])) for r in got], path)
@@ -289,9 +341,13 @@ def encoded_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
 
     def encoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c, chunks = codec(path), known.value
-        for f in slices(frames, "text"):
-            out = pd.DataFrame(list(encode_batch(c, f["text"].tolist(), chunks)), columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "id", f["id"].array)
-            yield out
+        try:
+            for f in slices(frames, "text", 500_000):
+                out = pd.DataFrame(list(encode_batch(c, f["text"].tolist(), chunks)), columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+                out.insert(0, "id", f["id"].array)
+                yield out
+        finally:  # a worker is reused for other stages
+            c.forget()
+            chunks.forget()
 
     return rows.mapInPandas(encoded, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
