@@ -29,7 +29,8 @@ def test_stages(spark, sf, tmp_path):
     assert sorted(got) == sorted(r for r, (kept, _) in zip(rows, verdict) if kept)
 
     rows, got, *_ = out["quality_classifier"]
-    train = sorted({(r.doc_id, r.text) for r in rows if r.doc_id in labels and zlib.crc32(str(r.doc_id).encode()) % 5})
+    table = spark.read.parquet(f"{big}/documents.parquet").collect()  # whatever earlier stages have left
+    train = sorted((r.doc_id, r.text) for r in table if r.doc_id in labels and zlib.crc32(str(r.doc_id).encode()) % 5)
     model = quality_knn.fit([t for _, t in train], [labels[i] for i, _ in train])
     scores = model.scores([r.text for r in rows])
     assert sorted(got) == sorted(r for r, s in zip(rows, scores) if s >= corpus_pipeline.LEAST_SCORE)
@@ -77,3 +78,17 @@ def test_run_and_empty_input(spark, sf, tmp_path):
         spark.read.parquet(f"{sf}/{t}.parquet").where("false").write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert 0 < corpus_pipeline.run(spark, sf).count() < 200
+
+
+def test_near_duplicates_without_ids(spark, sf):
+    near = [" ".join(f"{a}{i}" for i in range(60)) + f" end{j}" for a in "xy" for j in range(3)]
+    rows = [(None, near[0]), (None, near[0]), (None, near[1]), (5, near[3]), (None, near[4]), (7, near[3]), (5, near[3]), (9, ""), (9, ""), (None, None), (10, "alone here")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], schema).repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, sf)
+    assert got.columns == docs.columns
+    got = got.collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got if r.text not in near) == sorted([(9, ""), (9, ""), (0, ""), (10, "alone here")])
+    linked = [r for r in got if r.text in near]
+    assert len(linked) == 2 and [r.doc_id for r in linked if r.text in near[3:]] == [5]
+    assert corpus_pipeline.near_duplicates(spark, docs.where("false"), sf).count() == 0

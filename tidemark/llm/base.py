@@ -14,9 +14,11 @@ SEED = 20240607
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: ``spark.checkpoint.dir``, or (only where that is unset) one of our own."""
+    """The cluster's shared folder, ``spark.checkpoint.dir``. Only a local master may do without it, with a folder of its own."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not got:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         got = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(got)
     return got.rstrip("/")
@@ -32,12 +34,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["written_to"] = path
+    return out
 
 
-def tuned(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the Arrow batches that reach Python workers, so that long texts don't pile up in one batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders of frames from ``written`` that nothing reads any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.__dict__["written_to"]).getParent()
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of an Arrow batch, for every operator: a plan may run long after it was made, so the setting stays.
+BATCH = 1000
+
+
+def tuned(spark: SparkSession) -> None:
+    """Bound the Arrow batches that reach Python workers, so that long texts don't pile up in one batch. A session that has
+    smaller ones keeps them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if not 0 < now <= BATCH:
+        spark.conf.set(key, str(BATCH))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -49,9 +68,22 @@ def null_safe_key(c: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
 
 
-def sized_join(left: DataFrame, small: DataFrame, on: list[str], how: str = "inner", most: int = 200_000) -> DataFrame:
-    """Join with a written table: broadcast if a count shows at most ``most`` rows, else a shuffle join that AQE may split."""
-    return left.join(F.broadcast(small) if small.count() <= most else small, on, how)
+#: Bytes of the keys and values of a side that may be broadcast; in memory it takes a few times as many.
+BROADCAST = 8 << 20
+_WIDTHS = {"boolean": 1, "int": 4, "float": 4, "date": 4, "bigint": 8, "double": 8, "timestamp": 8}
+
+
+def small_enough(df: DataFrame, most: int = BROADCAST) -> bool:
+    """Whether a written table has at most ``most`` bytes, by its own count and the measured sizes of its texts and binaries."""
+    fixed = 16 + sum(_WIDTHS.get(t, 256 if t.startswith("array") else 8) for _, t in df.dtypes)
+    free = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    got = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(sum(free, F.lit(0))), F.lit(0)).alias("b")).first()
+    return got["n"] * fixed + got["b"] <= most
+
+
+def sized_join(left: DataFrame, small: DataFrame, on: list[str], how: str = "inner", most: int = BROADCAST) -> DataFrame:
+    """Join with a written table: broadcast if it is measured to have at most ``most`` bytes, else a shuffle join that AQE may split."""
+    return left.join(F.broadcast(small) if small_enough(small, most) else small, on, how)
 
 
 #: Two hashes of a whole row, which name it in a table where ids may repeat or be null.

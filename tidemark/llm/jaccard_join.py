@@ -4,7 +4,7 @@
    The order is a function of the shingle alone, so the prefix filter is exact however coarse the sketch.
 2. Each text's set is hashed; documents with equal sets form a *class* (its smallest id stands for it), and classes with
    equal prefixes and sizes form a *group*. Only groups emit their prefix shingles.
-3. Prefix shingles that occur in one group only are dropped by a pre-aggregated count. For the others, and for groups of
+3. Prefix shingles that occur in one group only are dropped. For the others, and for groups of
    several classes, members meet in cells: a shingle with many members is split into blocks, a cell for each pair of
    blocks, so no task holds an unbounded group. Pairs must pass the size and the positional filter and a bitmap bound on
    the sets' difference that never loses a pair. Classes with many possible partners are held together by single edges;
@@ -17,9 +17,14 @@
 Links are counted between documents: a document's links are its class's other members and the members of linked classes.
 
 Null and empty texts, and texts without words, have an empty set and link with nothing; each is its own component. Texts
-with fewer words than ``k`` have their whole sequence as one shingle. Rows with a null id form classes like others but
-can't name a component; if a component has no id its id is null, and a set that only rows without an id have isn't compared. Repeated rows are in one class and all are returned.
-An empty table gives an empty table. Columns that aren't named are not read. Sets are compared as 64-bit hashes.
+with fewer words than ``k`` have their whole sequence as one shingle. Rows with a null id form classes and are compared
+like others (texts are fetched by a hash of the row) but can't name a component: one without any id has a null id. Repeated
+rows are in one class and all are returned. Shingles of equal frequency are ordered by their hashes; no result depends on
+the order. A very long text is held whole, with about 19 times its bytes, by the task that hashes it; a cell of compared
+sets takes a bounded number of bytes unless one set alone is larger. An empty table gives an empty table. Columns that
+aren't named are not read. Sets are compared as 64-bit hashes.
+
+Folders of cut points are deleted once their frames have been used, but for the two that the result is read from.
 """
 
 from __future__ import annotations
@@ -30,10 +35,11 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import partitions, runs, sized_join, slices, tuned, written
+from .base import discard, partitions, runs, sized_join, slices, tuned, written
 from .textnp import mix, shingle_sets
 
 #: Slots of the sketch (a power of two) and of a set's bitmap; most members of a block in a cell.
@@ -181,27 +187,29 @@ def met(f: pd.DataFrame, percent: int, few: int = 16) -> pd.DataFrame:
 
 
 def class_table(docs: DataFrame) -> DataFrame:
-    """One row per distinct set: digest, n, pdigest, bits, rep (its smallest id), copies."""
-    return written(docs.where("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.first("pdigest").alias("pdigest"), F.first("bits").alias("bits"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    """One row per distinct set: digest, n, pdigest, bits, rep (its smallest id, if any), row (of its first row), copies."""
+    own = F.min(F.struct(F.col("id").isNull(), "id", "row"))
+    got = docs.where("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.first("pdigest").alias("pdigest"), F.first("bits").alias("bits"), own.alias("own"), F.count(F.lit(1)).alias("copies"))
+    return written(got.select("digest", "n", "pdigest", "bits", F.col("own.id").alias("rep"), F.col("own.row").alias("row"), "copies"), "classes")
 
 
 def possible_edges(docs: DataFrame, classes: DataFrame, percent: int, cell: int) -> DataFrame:
-    """(dense, a, b): classes (by digest) whose sets may be linked, as pairs or held together by dense edges."""
-    members = classes.select(F.col("digest").alias("cls"), "n", "pdigest", "bits")
-    groups = docs.where("n > 0").groupBy("pdigest", "n").agg(F.first("prefix").alias("prefix"))  # the only shuffle of whole prefixes
-    tokens = groups.select("pdigest", "n", F.posexplode("prefix").alias("pos", "token"))
-    often = groups.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
-    shared = written(sized_join(tokens, written(often.select("token"), "often"), ["token"], most=2_000_000), "tokens")
-    at_tokens = shared.select(F.lit(0).alias("kind"), "token", "pdigest", "n", "pos")
-    several = classes.groupBy("pdigest", "n").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    own = several.select(F.lit(1).alias("kind"), F.xxhash64("pdigest", "n").alias("token"), "pdigest", "n", F.lit(0).alias("pos"))
-    rows = at_tokens.unionByName(own).join(members, ["pdigest", "n"])
-    rows = rows.select("kind", "token", F.xxhash64("pdigest", "n").alias("gid"), "cls", "n", "pos", "bits")
-    rows = written(rows, "members")
-    sizes = rows.groupBy("kind", "token").agg(F.count(F.lit(1)).alias("g")).where(f"g > {cell}")
-    large = sized_join(rows, written(sizes, "large"), ["kind", "token"], "left")
-    blocks = F.coalesce(F.ceil(F.col("g") / cell), F.lit(1)).cast("int")
-    dealt = large.withColumn("blocks", blocks).withColumn("block", F.expr("cast(pmod(xxhash64(cls), blocks) as int)"))
+    """(dense, a, b): classes (by digest) whose sets may be linked, as pairs or held together by dense edges.
+
+    Groups go by a 64-bit name; should two have one name, their members meet in one cell and none is lost. Prefix shingles
+    are shuffled once, as three numbers each; a shingle is in few groups compared to all the shingles that a task gets, so a
+    common one is no skew. What is wide, a class's bitmap, is only joined to the shingles of several groups.
+    """
+    group = F.xxhash64("pdigest", "n").alias("gid")
+    members = classes.select(group, F.col("digest").alias("cls"), "n", "bits")
+    several = written(classes.groupBy(group).agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "several")
+    groups = docs.where("n > 0").groupBy("pdigest", "n").agg(F.first("prefix").alias("prefix")).select(group, "prefix")  # the only shuffle of whole prefixes
+    tokens = sized_join(groups, several, ["gid"], "left").select("gid", F.coalesce("m", F.lit(1)).alias("m"), F.posexplode("prefix").alias("pos", "token"))
+    same = W.partitionBy("token")
+    counted = tokens.withColumns({"groups": F.count(F.lit(1)).over(same), "g": F.sum("m").over(same)}).where("groups > 1")
+    shared = written(counted.select(F.lit(0).alias("kind"), "token", "gid", "pos", F.ceil(F.col("g") / cell).cast("int").alias("blocks")), "tokens")
+    own = several.select(F.lit(1).alias("kind"), F.col("gid").alias("token"), "gid", F.lit(0).alias("pos"), F.ceil(F.col("m") / cell).cast("int").alias("blocks"))
+    dealt = shared.unionByName(own).join(members, "gid").withColumn("block", F.expr("cast(pmod(xxhash64(cls), blocks) as int)"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = dealt.select("kind", "token", "gid", "cls", "n", "pos", "bits", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
 
@@ -209,8 +217,17 @@ def possible_edges(docs: DataFrame, classes: DataFrame, percent: int, cell: int)
         for f in whole_cells(frames):
             yield met(f, percent)
 
-    n = partitions(classes.sparkSession)
-    return dealt.repartition(n, *CELL_KEY).sortWithinPartitions(*CELL_KEY, "n", "cls").mapInPandas(meet, "dense boolean, a binary, b binary")
+    at = place(F.xxhash64("kind", "token"), partitions(classes.sparkSession))
+    got = written(dealt.repartitionById(partitions(classes.sparkSession), at).sortWithinPartitions(*CELL_KEY, "n", "cls").mapInPandas(meet, "dense boolean, a binary, b binary").distinct(), "met")
+    discard(several, shared)
+    return got
+
+
+def place(group: Column, n: int) -> Column:
+    """The task of a cell. The block pairs (lo, hi) of one group go to tasks one after another from a random one on, so that
+    the many cells of a large group are even, which hashing alone wouldn't make them."""
+    step = F.when(F.col("lo") < 0, F.col("hi").cast("long")).otherwise(F.expr("cast(hi as long) * (hi + 1) div 2 + lo"))
+    return F.pmod(F.pmod(group, F.lit(n)) + step, F.lit(n)).cast("int")
 
 
 def whole_cells(frames: Iterator[pd.DataFrame], key: list[str] = CELL_KEY, size: int = 30_000) -> Iterator[pd.DataFrame]:
@@ -264,7 +281,7 @@ def links_in_cell(f: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"digest": names[some], "linked": linked[some], "root": names[root[some]]})
 
 
-def verified(docs: DataFrame, classes: DataFrame, edges: DataFrame, k: int, percent: int, block: int = 128, small: int = 64, most_bytes: int = 16 << 20) -> DataFrame:
+def verified(docs: DataFrame, classes: DataFrame, edges: DataFrame, k: int, percent: int, block: int = 128, small: int = 64, most_bytes: int = 8 << 20) -> DataFrame:
     """(digest, linked, root) for each class and cell with links: exact comparisons.
 
     Classes that hang together and are few are one cell, to which each set is sent once. In larger heaps dense parts are
@@ -273,40 +290,50 @@ def verified(docs: DataFrame, classes: DataFrame, edges: DataFrame, k: int, perc
     compressed whole texts, which are smaller than their sets of hashes, and make the sets again.
     """
     spark = docs.sparkSession
+    used: list[DataFrame] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        used.append(written(df, name))
+        return used[-1]
 
     def heaps(e: DataFrame, name: str) -> DataFrame:
         got = components(e.select("a", "b"))
+        used.append(got)
         both = got.select(F.col("node").alias("digest"), F.col("root").alias("comp")).unionByName(got.select(F.col("root").alias("digest"), F.col("root").alias("comp")).distinct())
-        return written(both, name)
+        return kept(both, name)
 
     def sizes(members: DataFrame, name: str) -> DataFrame:
-        return written(members.join(light, "digest").groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size")), name)
+        return kept(members.join(light, "digest").groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size")), name)
 
-    light = classes.select("digest", "n", "rep", "copies")
+    light = classes.select("digest", "n", "row", "copies")
     inside = heaps(edges, "hang")
-    wanted = written(inside.join(light, "digest").where("rep is not null"), "wanted")
+    wanted = kept(inside.join(light, "digest").select(F.col("row"), F.col("digest").alias("want")), "wanted")
     is_small = (F.col("m") <= small) & (F.col("size") * 8 <= most_bytes)
-    placed = written(sized_join(inside, sizes(inside, "heap_sizes").select("comp", is_small.alias("whole")), ["comp"]), "placed")
+    placed = kept(sized_join(inside, sizes(inside, "heap_sizes").select("comp", is_small.alias("whole")), ["comp"]), "placed")
     one = placed.where("whole").select(F.col("comp").alias("cell"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(False).alias("lead"), F.lit(0).alias("block"), "digest")
-    large = written(edges.join(placed.where("not whole").select(F.col("digest").alias("a")), "a", "left_semi"), "large_edges")
+    large = kept(edges.join(placed.where("not whole").select(F.col("digest").alias("a")), "a", "left_semi"), "large_edges")
     packs = heaps(large.where("dense"), "packs")
     per = sizes(packs, "pack_sizes").select("comp", F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("size") * 8 / most_bytes)).cast("int").alias("blocks"))
     dealt = sized_join(packs, per, ["comp"]).withColumn("block", F.expr("cast(pmod(xxhash64(digest), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     dense = dealt.select(F.col("comp").alias("cell"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.lit(False).alias("lead"), "block", "digest")
     pa, pb = (packs.select(F.col("digest").alias(c), F.col("comp").alias("p" + c)) for c in ("a", "b"))
     pairs = large.where("not dense").join(pa, "a", "left").join(pb, "b", "left").where("pa is null or pb is null or pa <> pb").select("a", "b")
-    pairs = written(pairs.join(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / small).cast("int").alias("parts")), "a").withColumn("hi", F.expr("cast(pmod(xxhash64(b), parts) as int)")), "pairs")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / small), F.ceil(F.sum("n") * 8 / most_bytes)).cast("int")
+    parts = pairs.join(light.select(F.col("digest").alias("b"), "n"), "b").groupBy("a").agg(parts.alias("parts"))
+    pairs = kept(pairs.join(parts, "a").withColumn("hi", F.expr("cast(pmod(xxhash64(b), parts) as int)")), "pairs")
     rays = pairs.select(F.col("a").alias("cell"), F.lit(-1).alias("lo"), "hi", F.lit(False).alias("lead"), F.lit(0).alias("block"), F.col("b").alias("digest"))
     leads = pairs.select(F.col("a").alias("cell"), F.lit(-1).alias("lo"), "hi", F.lit(True).alias("lead"), F.lit(0).alias("block"), F.col("a").alias("digest")).distinct()
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done: set[bytes] = set()  # rows without an id may repeat
         for f in slices(frames, "text"):
+            f = f.loc[np.array([w not in done for w in f["want"]], bool)].drop_duplicates(["want", "text"])
             got = shingle_sets(f["text"].tolist(), k)
-            same = [xxhash.xxh3_128_digest(s.tobytes()) == w for s, w in zip(got, f["want"])]  # ids may repeat with other texts
-            f = f[same]
+            f = f.loc[np.array([xxhash.xxh3_128_digest(s.tobytes()) == w for s, w in zip(got, f["want"])], bool)]  # hashes of rows may clash
+            done.update(f["want"])
             yield pd.DataFrame({"digest": f["want"].array, "packed": [zstandard.compress(t.encode("utf-8", "surrogatepass")) for t in f["text"]]})
 
-    texts = sized_join(docs, wanted.select(F.col("rep").alias("id"), F.col("digest").alias("want")), ["id"])
+    texts = sized_join(docs, wanted, ["row"])
     full = texts.mapInPandas(pack, "digest binary, packed binary").groupBy("digest").agg(F.first("packed").alias("packed"))
     rows = one.unionByName(dense).unionByName(rays).unionByName(leads).join(light.select("digest", "n", "copies"), "digest").join(full, "digest")
     key = ["cell", "lo", "hi"]
@@ -317,13 +344,17 @@ def verified(docs: DataFrame, classes: DataFrame, edges: DataFrame, k: int, perc
                 sets = shingle_sets([zstandard.decompress(x).decode("utf-8", "surrogatepass") for x in f["packed"]], k)
                 yield links_in_cell(f.assign(items=[s.tobytes() for s in sets]), percent)
 
-    return rows.repartition(partitions(spark), *key).sortWithinPartitions(*key).mapInPandas(compare, "digest binary, linked long, root binary")
+    n = partitions(spark)
+    links = written(rows.repartitionById(n, place(F.xxhash64("cell"), n)).sortWithinPartitions(*key).mapInPandas(compare, "digest binary, linked long, root binary"), "links")
+    discard(*used)
+    return links
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns a and b) but the roots: root is the smallest node reachable.
 
-    Alternating large and small stars; every round is aggregates and joins, and the round's edges are written.
+    Alternating large and small stars; every round is aggregates and joins, and the round's edges are written. The caller
+    may ``discard`` what is returned.
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     sign = [F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")]
@@ -339,31 +370,39 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         small = large.join(low, "u")
         nxt = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         nxt = written(nxt, f"edges{i}")
+        discard(edges)
         edges, before, now = nxt, now, nxt.agg(*sign).first()
         if now == before:  # nothing moved
             break
     else:
         if now["n"]:
             raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out.__dict__["written_to"] = edges.__dict__["written_to"]
+    return out
 
 
-def joined(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id, n_shingles, component_id, n_links; and the columns ``carry`` (longs)."""
+def joined(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL, carry: tuple[str, ...] = (), component: bool = False) -> DataFrame:
+    """One row per document: id, n_shingles, component_id, n_links; and the columns ``carry`` (longs). With ``component``
+    also that: a binary name of the component, null for empty sets, which components without any id have too."""
     spark = docs.sparkSession
-    tuned(spark, 2000)
+    tuned(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *carry)
+    rows = rows.select("id", "text", F.xxhash64("id", "text").alias("row"), *carry)
     levels = spark.sparkContext.broadcast(sketch(rows, k))  # one byte for each slot
     digests = written(digested(rows, levels, k, percent), "digests")
     light = digests.select("id", "n", "digest", *carry)
     classes = class_table(digests)
-    edges = written(possible_edges(digests, classes, percent, cell).distinct(), "met")
-    links = written(verified(rows.select("id", "text"), classes, edges, k, percent), "links")
+    edges = possible_edges(digests, classes, percent, cell)
+    links = verified(rows.select("text", "row"), classes, edges, k, percent)
     roots = components(links.select(F.col("digest").alias("a"), F.col("root").alias("b")))
     degree = links.groupBy("digest").agg(F.sum("linked").alias("linked"))
     named = classes.select("digest", "rep", "copies").join(roots.withColumnRenamed("node", "digest"), "digest", "left").join(degree, "digest", "left")
     named = written(named.select("digest", "rep", "copies", F.coalesce("root", "digest").alias("root"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "named")
     least = written(named.where("n_links >= copies").groupBy("root").agg(F.min("rep").alias("least")), "least")  # classes with links
-    per_class = written(sized_join(named, least, ["root"], "left").select("digest", F.coalesce("least", "rep").alias("component_id"), "n_links"), "result")
+    per_class = written(sized_join(named, least, ["root"], "left").select("digest", F.coalesce("least", "rep").alias("component_id"), "n_links", F.col("root").alias("component")), "result")
+    discard(classes, edges, links, roots, named, least)
+    levels.unpersist()
     out = light.join(per_class, "digest", "left")
-    return out.select("id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), *carry)
+    name = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    return out.select("id", F.col("n").cast("long").alias("n_shingles"), name.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), *carry, *(["component"] if component else []))
