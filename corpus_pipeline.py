@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import ROW_KEY, keyed, scratch, without
+from tidemark.llm.base import ROW_KEY, keyed, scratch, sized_join, without, written
 from tidemark.llm.bpe_codec import encoded_documents
 from tidemark.llm.jaccard_join import joined
 from tidemark.llm.pfair_mix import mixed
@@ -36,14 +36,18 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: that with the smallest id (of repeated rows, one)."""
+    """One document of each group of linked ones: that with the smallest id, of documents without ids or with equal ones that
+    with the smallest row key, of repeated rows one. Documents without words link with nothing and all stay."""
     rows = keyed(docs)
-    got = joined(rows, carry=tuple(ROW_KEY))
-    other = got.where("component_id is not null and (id is null or id <> component_id)")
-    kept = without(rows, other, "near_duplicates")
-    if got.groupBy(*ROW_KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1):
-        kept = kept.dropDuplicates()
-    return kept
+    got = written(joined(rows, carry=tuple(ROW_KEY), component=True).where("component is not null"), "linked")
+    per_row = got.groupBy("component", "id", *ROW_KEY).agg(F.count(F.lit(1)).alias("n"))  # copies of one row are one
+    kept = per_row.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", *ROW_KEY)).alias("first")).select("first.*")
+    others = written(per_row.select(*ROW_KEY).join(kept.select(*ROW_KEY), ROW_KEY, "left_anti"), "near_duplicates")
+    again = written(per_row.where("n > 1").select(*ROW_KEY).join(kept.select(*ROW_KEY), ROW_KEY, "left_semi"), "repeated")
+    out = sized_join(rows, others, ROW_KEY, "left_anti")
+    if not again.isEmpty():  # only rows that repeat are compared as wholes
+        out = sized_join(out, again, ROW_KEY, "left_anti").unionByName(sized_join(out, again, ROW_KEY, "left_semi").dropDuplicates(ROW_KEY))
+    return out.drop(*ROW_KEY)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
