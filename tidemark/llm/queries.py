@@ -79,10 +79,31 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import digests, periodic_runs, planted
+
+    return digests(periodic_runs(planted(table(spark, sf_dir, "documents")), "id", "text")).withColumnRenamed("id", "doc_id")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .source_divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fit_packing import packed_documents
+
+    return packed_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_knn, op2_topk_search, op3_license_scan, op4_bpe_codec, op5_warc_store, op6_pfair_mix, op7_jaccard_join, op8_sharding, op9_quality_rules, op10_token_counts)
-}
+    for f in (
+        op1_quality_knn, op2_topk_search, op3_license_scan, op4_bpe_codec, op5_warc_store, op6_pfair_mix, op7_jaccard_join, op8_sharding, op9_quality_rules, op10_token_counts,
+        op11_periodic_runs, op12_source_divergence, op13_fit_packing,
+    )
+}
 
 
 def _license_sql() -> str:
@@ -91,6 +112,12 @@ def _license_sql() -> str:
     return oracle()
 
 
+def _divergence_sql() -> str:
+    from .source_divergence import ORACLE
+
+    return ORACLE
+
+
 #: Squared sums and hashes of floats aside, these are what SQL can say; the other queries have brute-force tests.
 SQL: dict[str, str] = {
     "op2_topk_search": """
@@ -104,6 +131,7 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20
 """,
     "op3_license_scan": _license_sql(),
+    "op12_source_divergence": _divergence_sql(),
     "op7_jaccard_join": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
