@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, text
 from ..operators import aggregate, dedupe, flatten, gates, joins, schema, sentiment
-from ..streaming import feed
+from ..sources import paged, stores
+from ..streaming import feed, live
 from .base import query, shared, table
 from .queries_text import norm_sql
 
@@ -285,6 +286,53 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("seq").alias("event_id"), F.col("app_key").cast("bigint").alias("user_id"), F.col("review_id").cast("double").alias("value"))
 
 
+@query("""
+SELECT 'play:' || user_id AS app_key, CASE WHEN user_id % 3 = 0 THEN 'de' ELSE 'us' END AS country, event_id::VARCHAR AS review_id, event_type AS body, (event_id % 5 + 1)::INTEGER AS rating, floor(epoch(ts))::BIGINT AS at
+FROM events
+""")
+def paged_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as reviews on saved pages (one for every 2,000 events of all apps), read page by page by the source, a partition for each (app, country)."""
+    import uuid
+
+    root = f"{shared(spark)}/pages-{uuid.uuid4().hex}"
+    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    one = F.struct(F.col("event_id").cast("string").alias("reviewId"), F.lit("u").alias("userName"), F.col("event_type").alias("content"), (F.col("event_id") % 5 + 1).cast("int").alias("score"), at.alias("at"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("app"), F.when(F.col("user_id") % 3 == 0, "de").otherwise("us").alias("country"), F.col("event_id").alias("n"), one.alias("one"))
+    pages = rows.withColumn("page", F.floor(F.col("n") / 2000)).groupBy("app", "country", "page").agg(F.to_json(F.sort_array(F.collect_list("one"))).alias("value"))
+    pages.repartition("app", "country").sortWithinPartitions("app", "country", "page").select("app", "country", "value").write.partitionBy("app", "country").text(f"{root}/saved")
+    feeds = [tuple(r) for r in rows.select("app", "country").distinct().collect()]  # what to read is the caller's list
+    got = paged.pages(spark, paged.Stored(f"{root}/saved"), feeds, name="saved_pages", pages=1_000_000)
+    reviews = stores.play_reviews(got.where("error is null"), "app_id", "country", "body")
+    return reviews.select("app_key", "country", "review_id", "body", "rating", F.unix_timestamp("at").alias("at"))
+
+
+_AT = "CASE WHEN conv_id % 5 > 0 THEN (conv_id * 37 + turn) % 1000 END"
+
+
+@query(f"""
+WITH named AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY role, conv_id ORDER BY turn) = 1)
+SELECT conv_id, role, turn FROM (
+  SELECT *, row_number() OVER (PARTITION BY role, {_FORM} ORDER BY {_AT} DESC NULLS LAST, CASE WHEN conv_id % 5 = 0 THEN length(text) END DESC NULLS LAST, conv_id, turn) AS r FROM named)
+WHERE r = 1
+""")
+def live_best_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages as reviews that come in two waves, the feed being stopped and started again between them: of each (role,
+    conversation) the first message, and of these the best of each text, as the live table stands in the end."""
+    import uuid
+
+    root = f"{shared(spark)}/live-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "conversations").withColumn("at", F.when(F.col("conv_id") % 5 > 0, F.timestamp_seconds((F.col("conv_id") * 37 + F.col("turn")) % 1000)))
+    rows = rows.withColumn("seq", F.col("conv_id") * 1_000_000 + F.col("turn"))
+    half = rows.agg(F.min("conv_id"), F.max("conv_id")).first()
+    first_wave = F.coalesce(F.col("conv_id") < F.lit(sum(half) // 2 if half[0] is not None else 0), F.lit(False))
+    for wave in (first_wave, ~first_wave):
+        rows.where(wave).write.mode("append").parquet(f"{root}/in")
+        stream = feed.feed(spark, f"{root}/in", rows.schema, files_per_batch=1_000_000)  # a wave is a batch
+        changes = live.standing_changes(stream, "role", "conv_id", "text", "at", "seq")
+        live.start(changes, f"{root}/table", f"{root}/state").awaitTermination()
+    return live.standing(spark, f"{root}/table", changes.schema).select("conv_id", "role", "turn")
+
+
 @query("""
 SELECT event_id, user_id FROM events WHERE (event_id % 11 > 0 AND ts >= TIMESTAMP '2024-01-21 00:00:00') OR (event_id % 11 = 0 AND event_id % 2 = 0)
 """)
