@@ -23,6 +23,8 @@ empty table; other columns aren't read, so clashing names don't matter.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
@@ -40,18 +42,78 @@ from .bpe_codec import Codec
 LIMIT, END = 4096, 1
 
 
-class Ids(Codec):
-    """A codec whose entries are the ids as little-endian 32-bit numbers."""
+#: Signs other than the apostrophe and the angle brackets of special tokens.
+SIGNS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: Words that are remembered with their ids, in each of two generations.
+WORDS = 200_000
+
+
+class Words(dict):
+    """The ids of words between white space, as little-endian 32-bit numbers; a word that isn't there yet is encoded.
+
+    Where a tokenizer's own rules keep such words apart (``parts_words``), they part a run of letters from the run of signs
+    after it, too. For Latin letters these rules are few: each letter is composed, has one small form and is written as
+    the signs that the library itself gives for it, so the library's model is asked for such pieces directly. All other words
+    go through the whole library.
+    """
+
+    def __init__(self, ids: Ids, older: dict[bytes, bytes]) -> None:
+        super().__init__()
+        self.tokenize, self.ids, self.older = ids.lib.model.tokenize, ids, older
+        self.signs: dict[bytes, bytes] = {}
+
+    def piece(self, text: str) -> bytes:
+        ids = [t.id for t in self.tokenize(text)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __missing__(self, word: bytes) -> bytes:
+        out = self.older.get(word)
+        if out is None:
+            core = word.rstrip(SIGNS)
+            if core.isalpha():  # ASCII letters
+                small = core.lower()
+                out = self.get(small) or self.piece(small.decode())
+            elif core and LATIN(text := core.decode("utf-8", "surrogatepass")):
+                out = self.piece(text.lower().translate(self.ids.written))
+            else:
+                core, out = word, self.ids.whole(word.decode("utf-8", "surrogatepass"))
+            if len(core) < len(word):
+                signs = word[len(core) :]
+                more = self.signs.get(signs)
+                if more is None:
+                    more = self.signs[signs] = self.piece(signs.decode())
+                out += more
+        self[word] = out
+        return out
+
+
+class Ids:
+    """A tokenizer that gives ids as little-endian 32-bit numbers, with a bounded memory of words."""
+
+    def __init__(self, path: str) -> None:
+        self.codec = Codec(path)
+        self.lib = self.codec.lib
+        letters = [chr(c) for c in (*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100))]
+        self.written = str.maketrans({x: "".join(piece for piece, _ in self.lib.pre_tokenizer.pre_tokenize_str(x)) for x in letters}) if self.codec.parts else {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop all that is remembered."""
+        self.words = Words(self, {})
 
-    def entry(self, ids: list[int]) -> tuple:
-        return len(ids), np.array(ids, "<u4").tobytes(), b""
+    def whole(self, text: str) -> bytes:
+        ids = self.codec.whole(text)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids_of(self, texts: list[str | None]) -> list[bytes]:
-        if not self.parts:
-            return [np.array(self.whole(t or ""), "<u4").tobytes() for t in texts]
-        words = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-        memo = self.known(words)
-        return [b"".join([memo[w][1] for w in ws]) for ws in words]
+        if not self.codec.parts:
+            return [self.whole(t or "") for t in texts]
+        if len(self.words) > WORDS:  # what comes again moves on from the older generation
+            older, self.words.older = self.words, {}
+            self.words = Words(self, older)
+        ids = self.words.__getitem__
+        return [b"".join(map(ids, t.encode("utf-8", "surrogatepass").split())) if t else b"" for t in texts]
 
 
 @cache
