@@ -40,8 +40,9 @@ from .base import partitions, sized_join, tuned, written
 
 SCALE, SMOOTH = 1_000_000_000, 5
 LEAST_DOCS, RANKS = 30, 50
-#: Bytes of a prefix, counters held by a task, leaves of a range (over all tasks) beyond which its prefix gets longer.
-WIDTH, HELD, LEAVES = 2, 400_000, 4_000_000
+#: Bytes of a prefix, counters held by a task, leaves of a range (over all tasks) beyond which its prefix gets longer, leaves
+#: of a row.
+WIDTH, HELD, LEAVES, ROW = 2, 400_000, 250_000, 2_000
 #: A-Z are lower-cased; ASCII other than letters ends a term.
 _TERM = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -106,10 +107,10 @@ def dumped(leaves: list[tuple[bytes, int, dict[str, int]]]) -> tuple[bytes, list
 
 
 def _by_prefix(words: list[bytes], width: int) -> Iterator[tuple[int, int]]:
-    """Stretches of sorted terms that share their first ``width`` bytes."""
+    """Stretches of at most ROW sorted terms that share their first ``width`` bytes."""
     at = 0
     for i in range(1, len(words) + 1):
-        if i == len(words) or words[i][:width] != words[at][:width]:
+        if i == len(words) or i - at == ROW or words[i][:width] != words[at][:width]:
             yield at, i
             at = i
 
@@ -122,7 +123,7 @@ class Trie:
 
     def __init__(self, label: bytes = b"", docs: int = 0, counts: dict[str, int] | None = None) -> None:
         self.label, self.docs, self.counts = label, docs, counts
-        self.children: dict[int, Trie] = {}
+        self.children: dict[int, Trie] | None = None  # most nodes are leaves without any
 
     def merge(self, nodes: bytes, names: list[str]) -> None:
         """Add a trie in linear form. The cursor holds the nodes from the root to the last leaf, with the depths at which they end."""
@@ -133,6 +134,8 @@ class Trie:
             term = term[:shared] + rest
             at, node = cursor[-1]
             while at < len(term):
+                if node.children is None:
+                    node.children = {}
                 old = node.children.get(term[at])
                 if old is None:
                     new = node.children[term[at]] = Trie(term[at:])
@@ -143,7 +146,7 @@ class Trie:
                         m = _shared(old.label, term[at : at + m])
                         middle = node.children[term[at]] = Trie(old.label[:m])
                         old.label = old.label[m:]
-                        middle.children[old.label[0]] = old
+                        middle.children = {old.label[0]: old}
                         old = middle
                     at, node = at + m, old
                 cursor.append((at, node))
@@ -162,7 +165,8 @@ class Trie:
             path += node.label
             if node.counts:
                 yield path, node.docs, node.counts
-            todo += [(path, node.children[b]) for b in sorted(node.children, reverse=True)]
+            if node.children:
+                todo += [(path, node.children[b]) for b in sorted(node.children, reverse=True)]
 
 
 def _shared(a: bytes, b: bytes) -> int:
@@ -249,8 +253,8 @@ def merged_tries(tries: DataFrame, least_docs: int, width: int = WIDTH, leaves:
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def kept(key: tuple, trie: Trie) -> Iterator[tuple]:
             own = [leaf for leaf in trie.walk() if leaf[1] >= least_docs]
-            if own:
-                yield (*key, *dumped(own))
+            for at in range(0, len(own), ROW):
+                yield (*key, *dumped(own[at : at + ROW]))
 
         def streamed() -> Iterator[tuple]:
             key, trie = None, Trie()
