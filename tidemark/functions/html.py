@@ -1,18 +1,33 @@
-"""Text, titles, links and facts out of stored HTML, as Column expressions. The accepted subset is pinned in tests."""
+"""Text, titles, links and facts out of stored HTML, as Column expressions. Visible text needs a stack of open elements, and so
+an Arrow batch function; all else is native. The accepted subset is pinned in tests."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from functools import reduce
+from html import unescape
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .numbers import compact, scaled, users
 from .text import squeeze, strip, text_or_blank
 
-#: Entities that are decoded (fixed values); the ampersand comes last.
+#: Entities that are decoded in short values (fixed values); the ampersand comes last. Visible text knows all of them.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
-HIDDEN = r"(?is)<(script|style|noscript|svg|iframe)\b[^>]*>.*?</(script|style|noscript|svg|iframe)\s*>"
+#: Elements whose content isn't shown, whose content is raw text, that have no content, and whose own text isn't part of a
+#: page's text (fixed values).
+HIDDEN = frozenset({"script", "style", "noscript", "svg", "iframe"})
+RAW = frozenset({"script", "style"})
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+ASIDE = frozenset({"template", "rt", "rp"})
+#: Open elements beyond which further ones, unless hidden, aren't told from the text around them, as in browsers.
+DEPTH = 512
+#: What an end tag can't close through: elements of a higher rank than its own (fixed values).
+RANK = {"div": 150, "td": 160, "th": 160, "tr": 170, "thead": 180, "tbody": 180, "tfoot": 180, "table": 190, "head": 200, "body": 200, "html": 220}
 #: Schemes that don't lead to a web page (fixed values).
 NOT_WEB = r"(?i)^(mailto|tel|sms|market|itms[a-z-]*|javascript|data|intent|about):"
 
@@ -21,11 +36,86 @@ def decoded(c: Column) -> Column:
     return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES, c)
 
 
+#: Comments, tags (attributes may hold > in quotes), declarations. Each alternative is linear: none gives back what it took.
+_MARKUP = re.compile(
+    r"""<!--(?:>|->|.*?(?:-->|--!>|\Z))|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?:(?P<rest>(?:[^<>"']|"[^"]*"|'[^']*')*+)>|[^<>]*+(?:>|(?=<)|\Z))|<[!?/][^>]*+(?:>|\Z)""",
+    re.DOTALL,
+)
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in RAW}
+_BLANKS = (re.compile(r"\n{2,}"), re.compile(r"[ \t]{2,}"))
+
+
+def text_nodes(page: str) -> list[str]:
+    """The text nodes outside hidden elements, in order, with all entities decoded.
+
+    One pass with a stack of open elements. An end tag closes the nearest open element of its name and all inside it, but not
+    through an element of a higher rank; without such an element it is ignored, and the text goes on. Script and style end at
+    their own end tag only. Elements that aren't closed end with the element around them.
+    """
+    out: list[str] = []
+    held: list[str] = []
+    stack: list[str] = []
+    open_: Counter[str] = Counter()
+    hidden = at = 0
+
+    def flush() -> None:
+        if held:
+            text = unescape("".join(held))
+            held.clear()
+            if not hidden and text:
+                out.append(text)
+
+    def aside(name: str) -> bool:
+        return name in HIDDEN or name in ASIDE
+
+    while True:
+        m = _MARKUP.search(page, at)
+        held.append(page[at : m.start()] if m else page[at:])
+        if m is None:
+            break
+        at = m.end()
+        name = (m["name"] or "").lower()
+        if not name:  # a comment or a declaration parts texts
+            flush()
+        elif m["end"]:
+            rank = RANK.get(name, 100)
+            for i in range(len(stack) - 1, -1, -1) if open_[name] else ():
+                if stack[i] == name:
+                    flush()
+                    hidden -= sum(map(aside, stack[i:]))
+                    open_.subtract(stack[i:])
+                    del stack[i:]
+                    break
+                if RANK.get(stack[i], 100) > rank:
+                    break
+        else:
+            flush()
+            if name in VOID or (m["rest"] or "").endswith("/"):
+                continue
+            if name in RAW:
+                end = _RAW_END[name].search(page, at)
+                at = end.start() if end else len(page)
+            if aside(name) or len(stack) < DEPTH:
+                stack.append(name)
+                open_[name] += 1
+                hidden += aside(name)
+    flush()
+    return out
+
+
+def _visible(page: str | None) -> str:
+    text = "\n".join(text_nodes(page or ""))
+    return _BLANKS[1].sub(" ", _BLANKS[0].sub("\n\n", text)).strip()
+
+
+@F.pandas_udf(StringType())
+def _visible_texts(pages: pd.Series) -> pd.Series:
+    return pages.map(_visible)
+
+
 def visible_text(html: Column) -> Column:
-    """The text outside hidden elements, a line per text node, without blank lines."""
-    bare = F.regexp_replace(F.regexp_replace(text_or_blank(html), HIDDEN, "\n"), r"(?s)<!--.*?-->", "\n")
-    lines = decoded(F.regexp_replace(bare, r"(?s)<[^>]*>", "\n"))
-    return strip(F.regexp_replace(F.regexp_replace(lines, r"[ \t\r\f]*\n\s*", "\n"), r"\n{2,}", "\n"))
+    """The text outside hidden elements: its nodes joined by line breaks, at most one blank line in a row, single blanks."""
+    return _visible_texts(html)
 
 
 def page_title(html: Column) -> Column:

