@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import html, text
-from tidemark.operators import aggregate, enrich, gates, ordering, schema, scoring, sentiment, tagging
+from tidemark.operators import aggregate, enrich, gates, ordering, phrases, schema, scoring, sentiment, tagging
 from tidemark.plans import market
 from tidemark.sources import readers, sinks, stores
 
@@ -94,8 +94,8 @@ def test_engines_by_name():
 def test_phrases_need_whole_words(spark):
     w = scoring.Weights()
     rows = ["site blocker", "site blockers", "on screen timers", "screen time", "ÉSCREEN TIME".lower(), None]
-    assert values(spark, rows, lambda c: scoring.phrase_count(F.lower(c), w.include_phrases)) == [1, 0, 0, 1, 0, 0]
-    assert values(spark, ["study timer, block", "blockchain studying", "focus focused focus"], lambda c: scoring.term_count(c, w.include_terms)) == [4, 0, 3]
+    assert values(spark, rows, lambda c: phrases.term_sums(F.lower(c), [(w.include_phrases, True)])[0]) == [1, 0, 0, 1, 0, 0]
+    assert values(spark, ["study timer, block", "blockchain studying", "focus focused focus"], lambda c: phrases.term_sums(c, [(w.include_terms, False)])[0]) == [4, 0, 3]
 
 
 def test_recency_is_configurable(spark):

@@ -11,14 +11,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-#: Signs that make up words; ``whole_words`` puts a pattern between word boundaries in these terms, whatever the engine takes for one.
-WORD = r"\p{L}\p{N}_"
-
-
-def whole_words(pattern: str) -> str:
-    return rf"(?<![{WORD}])(?:{pattern})(?![{WORD}])"
-
-
 URL = r"(?i)https?://\S+|www\.\S+"
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import re
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -12,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import recency_bonus
 from ..functions.numbers import clamp, log_bonus, number_or
-from ..functions.text import text_or_blank, whole_words
+from ..functions.text import text_or_blank
+from . import phrases
 
 
 @dataclass(frozen=True)
@@ -49,24 +49,12 @@ class Weights:
         return replace(self, include_terms=add(self.include_terms, include), exclude_terms=add(self.exclude_terms, exclude))
 
 
-def term_count(text: Column, terms: tuple[str, ...]) -> Column:
-    """How often the terms stand in a text as whole words; terms of several words count besides the words in them. Single
-    words can't overlap, so one pattern counts them all."""
-    single = [t for t in terms if re.fullmatch(r"\w+", t)]
-    patterns = ["|".join(single)] if single and len(set(single)) == len(single) else single
-    patterns += [re.escape(t) for t in terms if t not in single]
-    return reduce(lambda a, p: a + F.regexp_count(text, F.lit(whole_words(p))), patterns, F.lit(0))
-
-
-def phrase_count(text: Column, phrases: tuple[str, ...]) -> Column:
-    """How many of the phrases stand in a text as whole words."""
-    return reduce(lambda a, p: a + F.coalesce(text.rlike(whole_words(re.escape(p))), F.lit(False)).cast("int"), phrases, F.lit(0))
-
-
 def field_score(text: Column, w: Weights, weight: float, times: float, minus: float) -> Column:
-    low = F.lower(text_or_blank(text))
-    good = F.lit(times) * term_count(low, w.include_terms) + 2 * phrase_count(low, w.include_phrases)
-    bad = F.lit(minus) * term_count(low, w.exclude_terms) + F.lit(2 * minus) * phrase_count(low, w.exclude_phrases)
+    """Terms count as often as they stand in the text as whole words, phrases once each; all in one pass. Terms of several words
+    count besides the words in them."""
+    n = phrases.term_sums(F.lower(text_or_blank(text)), [(w.include_terms, False), (w.include_phrases, True), (w.exclude_terms, False), (w.exclude_phrases, True)])
+    good = F.lit(times) * n[0] + 2 * n[1]
+    bad = F.lit(minus) * n[2] + F.lit(2 * minus) * n[3]
     return F.lit(weight) * (good - bad)
 
 

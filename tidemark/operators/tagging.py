@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import confidence
 from ..functions.text import text_or_blank
+from . import phrases
 
 #: Features and their patterns (fixed values: results depend on them).
 DOMAIN = {
@@ -64,14 +65,18 @@ def words(*terms: str) -> dict[str, list[str]]:
 
 
 def tags(text: Column, features: Mapping[str, list[str]] = DOMAIN) -> Column:
-    """The features that a text shows, in table order."""
-    hit = [F.when(text.rlike(alternation(p)), F.lit(name)) for name, p in features.items()]
+    """The features that a text shows, in table order. One pass finds all whose patterns begin with literals; the others are
+    searched one by one."""
+    quick = {n: p for n, p in features.items() if phrases.begun(tuple(p))}
+    if len(quick) == len(features):
+        return phrases.shown(text, features)
+    found = phrases.shown(text, quick)
+    hit = [F.when(F.array_contains(found, name) if name in quick else text.rlike(alternation(p)), F.lit(name)) for name, p in features.items()]
     return F.array_compact(F.array(*hit))
 
 
 def neurodiverse(title: Column, body: Column) -> Column:
-    both = F.concat_ws("\n", title, body)
-    return F.coalesce(both.rlike(alternation(NEURODIVERSE)), F.lit(False))
+    return F.size(tags(F.concat_ws("\n", title, body), {"special": NEURODIVERSE})) > 0
 
 
 def tag_counts(df: DataFrame, keys: list[str], text: Column, features: Mapping[str, list[str]] = DOMAIN, measures: Mapping[str, Column] | None = None) -> DataFrame:
@@ -83,18 +88,17 @@ def tag_counts(df: DataFrame, keys: list[str], text: Column, features: Mapping[s
 
 def matching_counts(df: DataFrame, keys: list[str], text: Column, features: Mapping[str, list[str]] = DOMAIN) -> DataFrame:
     """Per key a column for each feature with the number of matching rows, zeros included."""
-    t = text_or_blank(text)
-    return df.groupBy(*keys).agg(*(F.count_if(t.rlike(alternation(p))).alias(name) for name, p in features.items()))
+    rows = df.select(*keys, tags(text_or_blank(text), features).alias("__shown"))
+    return rows.groupBy(*keys).agg(*(F.count_if(F.array_contains("__shown", name)).alias(name) for name in features))
 
 
 def longened(wide: DataFrame, keys: list[str], features: list[str], value: str) -> DataFrame:
     return wide.unpivot(keys, features, "feature", value)
 
 
-def sources(fields: Mapping[str, Column], patterns: list[str]) -> Column:
-    """The names of the fields whose text shows the feature, in order."""
-    rx = alternation(patterns)
-    return F.array_compact(F.array(*(F.when(text_or_blank(c).rlike(rx), F.lit(name)) for name, c in fields.items())))
+def sources(fields: Mapping[str, Column], feature: str) -> Column:
+    """The names of the fields that show the feature, in order. ``fields``: the features that each one shows."""
+    return F.array_compact(F.array(*(F.when(F.array_contains(c, feature), F.lit(name)) for name, c in fields.items())))
 
 
 def feature_signals(apps: DataFrame, keys: list[str], fields: Mapping[str, Column], hits: DataFrame, features: Mapping[str, list[str]] = DOMAIN, least: float = 0.55) -> DataFrame:
@@ -104,7 +108,9 @@ def feature_signals(apps: DataFrame, keys: list[str], fields: Mapping[str, Colum
     Texts are searched where they are read. One map of hits for each app is joined, and an app's features become rows
     only where there is evidence.
     """
-    found = F.array(*(F.struct(F.lit(n).alias("feature"), sources(fields, p).alias("found")) for n, p in features.items()))
+    shown = {name: F.col(f"__shown{i}") for i, name in enumerate(fields)}
+    apps = apps.select(*keys, *(tags(text_or_blank(c), features).alias(f"__shown{i}") for i, c in enumerate(fields.values())))
+    found = F.array(*(F.struct(F.lit(n).alias("feature"), sources(shown, n).alias("found")) for n in features))
     counts = hits.where(F.col("feature").isin(*features)).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("feature", "review_hits"))).alias("__hits"))  # a feature has one row
     rows = apps.select(*keys, found.alias("__found")).join(counts, keys, "left")
 
@@ -113,5 +119,5 @@ def feature_signals(apps: DataFrame, keys: list[str], fields: Mapping[str, Colum
         named = F.when(F.size(x["found"]) > 0, F.array_join(x["found"], ",")).when(n > 0, F.lit("reviews")).otherwise(F.lit(""))
         return F.struct(x["feature"].alias("feature"), confidence(F.size(x["found"]), n).alias("confidence"), named.alias("signals"), n.alias("review_hits"), F.size(x["found"]).alias("n"))
 
-    shown = F.filter(F.transform("__found", one), lambda r: (r["n"] > 0) | (r["confidence"] >= least))
-    return rows.select(*keys, F.inline(shown)).drop("n")
+    evident = F.filter(F.transform("__found", one), lambda r: (r["n"] > 0) | (r["confidence"] >= least))
+    return rows.select(*keys, F.inline(evident)).drop("n")

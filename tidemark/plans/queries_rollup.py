@@ -332,7 +332,7 @@ def live_best_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows.where(wave).write.mode("append").parquet(f"{root}/in")
         stream = feed.feed(spark, f"{root}/in", rows.schema, files_per_batch=1_000_000)  # a wave is a batch
         changes = live.standing_changes(stream, "role", "conv_id", "text", "at", "seq")
-        live.start(changes, f"{root}/table", f"{root}/state").awaitTermination()
+        live.start(changes, f"{root}/table", f"{root}/state", many=False).awaitTermination()
     return live.standing(spark, f"{root}/table", changes.schema).select("conv_id", "role", "turn")
 
 

@@ -110,9 +110,11 @@ def standing_changes(stream: DataFrame, key: str, review_id: str, body: str, at:
     return rows.groupBy("mark_bucket").transformWithStateInPandas(BestOfText(), rows.schema, "Append", "None").drop("mark_bucket", "mark_id")
 
 
-def start(changes: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Append what changes, batch by batch, over all input there is. The state is kept by RocksDB with a log of changes."""
+def start(changes: DataFrame, table: str, checkpoint: str, many: bool = True) -> StreamingQuery:
+    """Append what changes, batch by batch, over all input there is. The state is kept by RocksDB with a log of changes; with
+    ``many`` batches to come it stays open between them, else executors close it after each one and need no disk for it."""
     spark = changes.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", str(not many).lower())
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
