@@ -47,7 +47,7 @@ def test_terms_equal_counts_of_patterns(spark):
     want = F.array(sum(count, F.lit(0)), sum(((c > 0).cast("int") for c in count), F.lit(0)))
     got = phrases.term_sums(low, [(terms, False), (terms, True)])
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
-    assert rows.where(~got.eqNullSafe(want)).count() == 0 and rows.where(got[0] > 2).count() > 100
+    assert rows.where(~got.eqNullSafe(want)).count() == 0 and rows.where(got[0] > 0).count() > 100
 
 
 def test_patterns_that_may_begin_with_anything_are_searched(spark):
