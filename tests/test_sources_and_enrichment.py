@@ -131,12 +131,6 @@ def test_records_without_keys_stay_apart(spark):
     assert sorted(r.title for r in got.collect()) == ["First app", "Second app"]
 
 
-def test_raters_are_bounded(spark):
-    rows = spark.createDataFrame([(1, str(i), 1) for i in range(5)], "i int, m string, v int")
-    with pytest.raises(ValueError):
-        aggregate.rater_agreement(rows, ["i"], "m", "v", most=4)
-
-
 def test_enrichment_asks_parses_and_resumes(spark):
     def client(prompt):
         if "broken" in prompt:

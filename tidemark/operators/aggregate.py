@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,46 +56,102 @@ def taxonomy_rollup(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.countDistinct("feature_name").alias("features"), F.avg("support_val").alias("mean_support"), F.avg(F.col("nd_specific").cast("double")).alias("share_nd_specific"))
 
 
-def kappa(a: str, b: str) -> Column:
-    """Cohen's kappa of two 0/1 columns as an aggregate; null where chance agreement is complete."""
-    agree = F.avg((F.col(a) == F.col(b)).cast("double"))
-    pa, pb = F.avg(F.col(a).cast("double")), F.avg(F.col(b).cast("double"))
+def kappa(n: Column, ones_a: Column, ones_b: Column, both: Column) -> Column:
+    """Cohen's kappa of two 0/1 ratings from counts: of items, of each one's ones, of items where both are one. Null where chance
+    agreement is complete."""
+    agree = 1 - (ones_a + ones_b - 2 * both) / n
+    pa, pb = ones_a / n, ones_b / n
     chance = pa * pb + (1 - pa) * (1 - pb)
     return F.round(F.when(chance < 1, F.try_divide(agree - chance, 1 - chance)), 3)
 
 
-def _raters(ratings: DataFrame, rater: str, most: int) -> list[str]:
-    """The raters' names, of which there are few; more than ``most`` are an error."""
-    found = sorted(r[0] for r in ratings.select(rater).where(F.col(rater).isNotNull()).distinct().limit(most + 1).collect())
-    if len(found) > most:
-        raise ValueError(f"more than {most} raters")
-    return found
+def _marks(ratings: DataFrame, items: list[str], rater: str, value: str) -> DataFrame:
+    """A row for each rater and item: whether any of the ratings is one. ``__item`` is a digest of the item, nulls apart."""
+    item = F.xxhash64(*(F.struct(F.col(c).isNull(), F.col(c)) for c in items)), F.hash(*(F.struct(F.col(c).isNull(), F.col(c)) for c in items))
+    rows = ratings.select(F.struct(item[0].alias("h"), item[1].alias("g")).alias("__item"), F.col(rater).cast("string").alias("rater"), F.col(value).alias("v"))
+    return rows.groupBy("__item", "rater").agg(F.coalesce(F.max("v"), F.lit(0)).cast("int").alias("one"))
 
 
-def human_agreement(ratings: DataFrame, human: DataFrame, items: list[str], rater: str, value: str, most: int = 50) -> DataFrame:
+def human_agreement(ratings: DataFrame, human: DataFrame, items: list[str], rater: str, value: str) -> DataFrame:
     """Kappa and number of items of each rater against the human labels (column ``value``), over the items that have both a
-    rating by anyone and a human label; an item that this rater didn't label counts as 0."""
-    raters = _raters(ratings, rater, most)
-    if not raters:
-        return ratings.sparkSession.createDataFrame([], "rater_a string, rater_b string, kappa double, n long")
-    wide = ratings.groupBy(*items).pivot(rater, raters).agg(F.max(value)).fillna(0, raters)
-    both = wide.join(human.groupBy(*items).agg(F.max(value).alias("__human")).where("__human is not null"), items)
-    each = both.agg(F.array(*(F.struct(F.lit(r).alias("rater_a"), F.lit("human").alias("rater_b"), kappa(f"`{r}`", "__human").alias("kappa"), F.count(F.lit(1)).alias("n")) for r in raters)).alias("all"))
-    return each.select(F.inline("all")).where("n > 0")
-
-
-def rater_agreement(ratings: DataFrame, items: list[str], rater: str, value: str, most: int = 50) -> DataFrame:
-    """Kappa and number of items for every pair of raters; an item that a rater didn't label counts as 0.
-
-    Ratings are pivoted to a column per rater (one shuffle on the items), then all pairs are one aggregate.
+    rating by anyone and a human label; an item that this rater didn't label counts as 0. Ratings are 0 or 1."""
+    marks = _marks(ratings, items, rater, value)
+    label = _marks(human.where(F.col(value).isNotNull()).withColumn("__rater", F.lit("human")), items, "__rater", value).select("__item", F.col("one").alias("human"))
+    both = marks.join(label, "__item")
+    whole = both.groupBy("__item").agg(F.first("human").alias("human")).agg(F.count(F.lit(1)).alias("n"), F.sum("human").alias("ones_b"))  # one row
+    each = both.where("rater is not null").groupBy("rater").agg(F.sum("one").alias("ones_a"), F.sum(F.col("one") * F.col("human")).alias("both"))
+    # raters without an item that has a label are compared, too
+    each = marks.where("rater is not null").select("rater").distinct().join(each, "rater", "left").na.fill(0)
+    got = each.crossJoin(F.broadcast(whole)).where("n > 0")
+    return got.select(F.col("rater").alias("rater_a"), F.lit("human").alias("rater_b"), kappa(*map(F.col, ("n", "ones_a", "ones_b", "both"))).alias("kappa"), "n")
+
+
+#: Raters of a block: a task holds the counts of one pair of blocks.
+RATER_BLOCK = 1000
+
+
+def _together(marks: DataFrame, block: int) -> DataFrame:
+    """(rater_a, rater_b, both): items where both gave a one, for the pairs that have any; a < b. Items' raters become 0/1 rows,
+    and the products of such rows are added up in the task, so no pair of one item is ever a row."""
+    ones = marks.where("one = 1 and rater is not null")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("r") / block)).cast("int")
+    n = marks.agg(F.count_distinct("rater").alias("r")).select(blocks.alias("blocks"))
+    ones = ones.crossJoin(F.broadcast(n)).withColumn("b", F.expr("cast(pmod(xxhash64(rater), blocks) as int)"))
+    per = ones.groupBy("__item", "blocks", "b").agg(F.collect_list("rater").alias("raters"))  # as many as a block has at most, about
+    sides = per.groupBy("__item", "blocks").agg(F.map_from_entries(F.collect_list(F.struct("b", "raters"))).alias("of"))
+    pairs = sides.select("__item", "of", F.explode(F.expr("flatten(transform(map_keys(of), x -> transform(filter(map_keys(of), y -> y >= x), y -> named_struct('lo', x, 'hi', y))))")).alias("p"))
+    rows = pairs.select(F.pmod("__item.g", F.lit(64)).alias("part"), "p.lo", "p.hi", F.element_at("of", F.col("p.lo")).alias("x"), F.when(F.col("p.lo") < F.col("p.hi"), F.element_at("of", F.col("p.hi"))).alias("y"))
+    rows = rows.repartition("lo", "hi", "part").sortWithinPartitions("lo", "hi")  # a block pair has 64 tasks at most
+
+    def added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, counts, left, right = None, None, {}, {}
+
+        def flushed() -> Iterator[pd.DataFrame]:
+            if key is not None:
+                a, b = np.array(list(left), object), np.array(list(right), object)
+                i, j = np.nonzero(counts[: len(a), : len(b)])
+                x, y, n = a[i], b[j], counts[i, j]
+                swap = x > y
+                x, y = np.where(swap, y, x), np.where(swap, x, y)
+                keep = (x != y) & ~(swap if key[0] == key[1] else np.zeros(len(x), bool))  # one block has each pair both ways
+                yield pd.DataFrame({"rater_a": x[keep], "rater_b": y[keep], "both": n[keep]})
+
+        def numbers(of: dict, found: list) -> np.ndarray:
+            return np.fromiter((of.setdefault(r, len(of)) for r in found), np.int64, len(found))
+
+        for f in frames:
+            for lo, hi, x, y in zip(f["lo"], f["hi"], f["x"], f["y"]):
+                if (lo, hi) != key:
+                    yield from flushed()
+                    key, counts, left, right = (lo, hi), np.zeros((64, 64), np.int64), {}, {}
+                    if lo == hi:
+                        right = left
+                i = numbers(left, list(x))
+                j = i if lo == hi else numbers(right, list(y))
+                need = max(len(left), len(right))
+                if need > len(counts):
+                    more = np.zeros((2 * need, 2 * need), np.int64)
+                    more[: len(counts), : len(counts)] = counts
+                    counts = more
+                counts[i[:, None], j] += 1  # an item has a rater once
+        yield from flushed()
+
+    return rows.mapInPandas(added, "rater_a string, rater_b string, both long").groupBy("rater_a", "rater_b").agg(F.sum("both").alias("both"))
+
+
+def rater_agreement(ratings: DataFrame, items: list[str], rater: str, value: str, block: int = RATER_BLOCK) -> DataFrame:
+    """Kappa and number of items for every pair of raters; an item that a rater didn't label counts as 0. Ratings are 0 or 1.
+
+    Any number of raters: what two of them have in common is counted sparsely, from the items that have ones of both. Every
+    pair of raters is a row of the result, and nothing else is as large.
     """
-    raters = _raters(ratings, rater, most)
-    wide = ratings.groupBy(*items).pivot(rater, raters).agg(F.max(value)).fillna(0, raters)
-    pairs = list(combinations(raters, 2))
-    if not pairs:
-        return ratings.sparkSession.createDataFrame([], "rater_a string, rater_b string, kappa double, n long")
-    each = wide.agg(F.array(*(F.struct(F.lit(a).alias("rater_a"), F.lit(b).alias("rater_b"), kappa(f"`{a}`", f"`{b}`").alias("kappa"), F.count(F.lit(1)).alias("n")) for a, b in pairs)).alias("all"))
-    return each.select(F.inline("all"))
+    marks = _marks(ratings, items, rater, value)
+    whole = marks.select("__item").distinct().agg(F.count(F.lit(1)).alias("n"))  # one row
+    own = marks.where("rater is not null").groupBy("rater").agg(F.sum("one").alias("ones"))
+    a, b = (own.select(F.col("rater").alias(f"rater_{x}"), F.col("ones").alias(f"ones_{x}")) for x in "ab")
+    pairs = a.join(b, F.col("rater_a") < F.col("rater_b")).join(_together(marks, block), ["rater_a", "rater_b"], "left").na.fill(0, ["both"])
+    got = pairs.crossJoin(F.broadcast(whole))
+    return got.select("rater_a", "rater_b", kappa(*map(F.col, ("n", "ones_a", "ones_b", "both"))).alias("kappa"), "n")
 
 
 def shares(df: DataFrame, keys: list[str], digits: int = 4) -> DataFrame:

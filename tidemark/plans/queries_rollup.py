@@ -162,6 +162,22 @@ def rater_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.rater_agreement(long, ["doc_id"], "model", "present")
 
 
+@query("""
+WITH m AS (SELECT conv_id // 20 AS item, 'r' || ((conv_id * 7 + turn) % 500) AS rater, max((length(text) % 3 > 0)::INT) AS v FROM conversations GROUP BY 1, 2),
+t AS (SELECT count(DISTINCT item) AS n FROM m), o AS (SELECT rater, sum(v) AS k FROM m GROUP BY rater),
+c AS (SELECT x.rater AS a, y.rater AS b, count(*) AS nb FROM m x JOIN m y ON x.item = y.item AND x.rater < y.rater WHERE x.v = 1 AND y.v = 1 GROUP BY 1, 2),
+p AS (
+  SELECT x.rater AS rater_a, y.rater AS rater_b, n, 1 - (x.k + y.k - 2 * coalesce(nb, 0)) / n::DOUBLE AS po, (x.k / n::DOUBLE) * (y.k / n::DOUBLE) + (1 - x.k / n::DOUBLE) * (1 - y.k / n::DOUBLE) AS pe
+  FROM o x JOIN o y ON x.rater < y.rater CROSS JOIN t LEFT JOIN c ON c.a = x.rater AND c.b = y.rater)
+SELECT rater_a, rater_b, CASE WHEN pe < 1 THEN round((po - pe) / (1 - pe), 3) END AS kappa, n::BIGINT AS n FROM p
+""")
+def many_raters_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five hundred raters of stretches of twenty conversations."""
+    v = (F.length("text") % 3 > 0).cast("int")
+    rows = table(spark, sf_dir, "conversations").select(F.floor(F.col("conv_id") / 20).alias("item"), F.concat(F.lit("r"), (F.col("conv_id") * 7 + F.col("turn")) % 500).alias("rater"), v.alias("v"))
+    return aggregate.rater_agreement(rows, ["item"], "rater", "v")
+
+
 @query("""
 SELECT item, count(*)::BIGINT AS n FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(regexp_replace(text, '["\\\\\\x00-\\x1f]', '', 'g')), ','), lambda x: trim(x) <> '')) AS raw, trim(raw) AS item FROM documents)
 GROUP BY item ORDER BY n DESC, item LIMIT 10
@@ -290,23 +306,22 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT 'play:' || user_id AS app_key, CASE WHEN user_id % 3 = 0 THEN 'de' ELSE 'us' END AS country, event_id::VARCHAR AS review_id, event_type AS body, (event_id % 5 + 1)::INTEGER AS rating, floor(epoch(ts))::BIGINT AS at
-FROM events
+SELECT 'play:' || (conv_id % 20) AS app_key, role AS country, conv_id || '-' || turn AS review_id, md5(text) AS body, (turn % 5 + 1)::INTEGER AS rating FROM conversations
 """)
 def paged_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as reviews on saved pages (one for every 2,000 events of all apps), read page by page by the source, a partition for each (app, country)."""
+    """Messages as reviews on saved pages, twenty apps in as many countries as there are roles, read page by page by the source,
+    a partition for each (app, country)."""
     import uuid
 
     root = f"{shared(spark)}/pages-{uuid.uuid4().hex}"
-    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    one = F.struct(F.col("event_id").cast("string").alias("reviewId"), F.lit("u").alias("userName"), F.col("event_type").alias("content"), (F.col("event_id") % 5 + 1).cast("int").alias("score"), at.alias("at"))
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("app"), F.when(F.col("user_id") % 3 == 0, "de").otherwise("us").alias("country"), F.col("event_id").alias("n"), one.alias("one"))
-    pages = rows.withColumn("page", F.floor(F.col("n") / 2000)).groupBy("app", "country", "page").agg(F.to_json(F.sort_array(F.collect_list("one"))).alias("value"))
+    one = F.struct(F.concat_ws("-", "conv_id", "turn").alias("reviewId"), F.lit("u").alias("userName"), F.col("text").alias("content"), (F.col("turn") % 5 + 1).cast("int").alias("score"))
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 20).cast("string").alias("app"), F.col("role").alias("country"), F.floor(F.col("conv_id") / 500).alias("page"), one.alias("one"))
+    pages = rows.groupBy("app", "country", "page").agg(F.to_json(F.collect_list("one")).alias("value"))  # of five conversations each
     pages.repartition("app", "country").sortWithinPartitions("app", "country", "page").select("app", "country", "value").write.partitionBy("app", "country").text(f"{root}/saved")
     feeds = [tuple(r) for r in rows.select("app", "country").distinct().collect()]  # what to read is the caller's list
     got = paged.pages(spark, paged.Stored(f"{root}/saved"), feeds, name="saved_pages", pages=1_000_000)
     reviews = stores.play_reviews(got.where("error is null"), "app_id", "country", "body")
-    return reviews.select("app_key", "country", "review_id", "body", "rating", F.unix_timestamp("at").alias("at"))
+    return reviews.select("app_key", "country", "review_id", F.md5("body").alias("body"), "rating")
 
 
 _AT = "CASE WHEN conv_id % 5 > 0 THEN (conv_id * 37 + turn) % 1000 END"

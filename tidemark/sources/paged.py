@@ -169,8 +169,10 @@ class _StreamReader(_Pages, DataSourceStreamReader):
 
 
 class Stored:
-    """A fetcher of pages that a crawl has saved: a line for each page, in order, in ``app=.../country=...`` under a folder that all
-    executors share. A page's token is its number."""
+    """A fetcher of pages that a crawl has saved: a line for each page, in order, in one file of ``app=.../country=...`` under a
+    folder that all executors share. A page's token is where its line begins, so each page is read once, by itself."""
+
+    STEP = 1 << 16
 
     def __init__(self, uri: str) -> None:
         self.uri = uri
@@ -180,10 +182,16 @@ class Stored:
 
         files, root = fs.FileSystem.from_uri(self.uri)
         found = files.get_file_info(fs.FileSelector(f"{root}/app={app}/country={country}"))
-        at, (saved,) = int(token or 0), [f.path for f in found if f.base_name.startswith("part-")]
-        with files.open_input_stream(saved) as lines:
-            body = lines.read().split(b"\n")
-        return body[at].decode(), str(at + 1) if at + 2 < len(body) else None  # the last line ends, too
+        (saved,) = (f.path for f in found if f.base_name.startswith("part-"))
+        with files.open_input_file(saved) as f:
+            size, at = f.size(), int(token or 0)
+            f.seek(at)
+            read: list[bytes] = []
+            while not read or (read[-1] and b"\n" not in read[-1]):
+                read.append(f.read(self.STEP))
+            body = b"".join(read).split(b"\n", 1)[0]
+            end = at + len(body) + 1
+        return body.decode(), str(end) if end < size else None
 
 
 def paged_source(fetch: Fetch, name: str = "paged") -> type[DataSource]:
