@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, text
-from ..operators import aggregate, dedupe, gates, joins, schema, scoring, sentiment, tagging
+from ..operators import aggregate, dedupe, gates, joins, numbering, schema, scoring, sentiment, tagging
 from ..sources import readers
+from .base import shared
 
 #: Target columns and the names under which sources have them, in order (fixed values).
 ALIASES = {
@@ -60,9 +61,14 @@ def normalized(raw: DataFrame, as_of: dt.date, weights: scoring.Weights | None =
 
 
 def checked(catalog: DataFrame, least_ratings: float = 50, least_installs: float = 10_000, least_users: float = 1000, least_relevance: float = 0.2, nulls: str = "win") -> DataFrame:
-    """The latest row of each app, with ``drop_reason`` (null for those that stay)."""
-    rows = schema.normal_cells(schema.normal_names(catalog)).withColumn("__n", F.monotonically_increasing_id())
-    rows = rows.withColumn("app_key", F.coalesce("app_key", text.keyed_or_numbered(F.col("store"), F.col("id"), F.col("__n")))).drop("__n")
+    """The latest row of each app, with ``drop_reason`` (null for those that stay). Rows without an id get the numbers that they
+    have among such rows in the order of all their columns, however they are dealt into partitions."""
+    shared(catalog.sparkSession)  # for what is written between
+    rows = schema.normal_cells(schema.normal_names(catalog))
+    rows = rows.withColumn("app_key", F.coalesce("app_key", text.app_key(F.col("store"), F.col("id")))).checkpoint()  # it is read twice
+    nameless = numbering.numbered(rows.where("app_key is null"), [c for c in rows.columns if c != "app_key"], "__n")
+    nameless = nameless.withColumn("app_key", text.keyed_or_numbered(F.col("store"), F.col("id"), F.col("__n"))).drop("__n")
+    rows = rows.where("app_key is not null").unionByName(nameless)
     latest = dedupe.keep_latest(rows, ["app_key"], "scraped_at", "rating_count", [F.col("title").asc()], nulls)
     return latest.withColumn("drop_reason", gates.reasons({
         "missing_title_and_description": gates.readable(F.col("title"), F.col("description")),

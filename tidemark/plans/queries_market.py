@@ -7,15 +7,16 @@ phrase shows, what it scores), not computed by the same patterns.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
 from ..operators import aggregate, ordering, scoring, sentiment, tagging
-from ..sources import stores
+from ..sources import sinks, stores
 from . import market
-from .base import query, table
+from .base import query, shared, table
 
 _AS_OF = dt.date(2025, 1, 1)
 
@@ -214,7 +215,7 @@ per AS (SELECT o_custkey AS k, o_orderpriority AS c, count(*) AS n, count(*) FIL
 flags AS (SELECT o_custkey AS k, o_orderstatus AS s, max(o_orderkey % 2) AS flag FROM orders GROUP BY 1, 2)"""
 
 
-@query(f"""
+_CARDS = f"""
 WITH {_COUNTRIES}
 SELECT 'play:' || c_custkey AS app_key, c_name AS title, coalesce(max(CASE WHEN s = 'F' THEN flag END), 0)::INTEGER AS ff, coalesce(max(CASE WHEN s = 'O' THEN flag END), 0)::INTEGER AS fo, coalesce(max(CASE WHEN s = 'P' THEN flag END), 0)::INTEGER AS fp,
   any_value(m.n)::BIGINT AS n_reviews, any_value(m.nd)::BIGINT AS n_nd, any_value(rating) AS avg_rating, any_value(i.pains)::BIGINT AS pains, any_value(i.praises)::BIGINT AS praises, any_value(i.aspects) AS top_aspects
@@ -224,11 +225,31 @@ LEFT JOIN (
   SELECT k, sum(pains) AS pains, sum(praises) AS praises, string_agg(s, '; ' ORDER BY n DESC, first) AS aspects FROM (
     SELECT o_custkey AS k, o_orderstatus AS s, count(*) AS n, min(o_orderkey) AS first, count(*) FILTER (o_orderpriority = '1-URGENT') AS pains, count(*) FILTER (o_orderpriority = '5-LOW') AS praises FROM orders GROUP BY 1, 2) GROUP BY 1) i ON i.k = c_custkey
 GROUP BY c_custkey, c_name
-""")
+"""
+
+
+@query(_CARDS)
 def app_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
-    labels = orders.select(F.concat(F.lit("play:"), "o_custkey").alias("app_key"), F.when(F.col("o_orderpriority") == "1-URGENT", "pain").when(F.col("o_orderpriority") == "5-LOW", "praise").otherwise("other").alias("type"), F.col("o_orderstatus").alias("aspects"), "o_orderkey")
-    got = market.cards(_customers(spark, sf_dir), _flags(spark, sf_dir), _mood(spark, sf_dir), market.review_insights(labels, "o_orderkey"), ["ff", "fo", "fp"])
+    return _cards(_customers(spark, sf_dir), _flags(spark, sf_dir), _mood(spark, sf_dir), _labels(spark, sf_dir))
+
+
+@query(_CARDS)
+def bucketed_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same cards from tables that are written in buckets by app: nothing but scans, sorts within tasks and joins."""
+    root, run = shared(spark), uuid.uuid4().hex
+    sinks.without_exchange(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    made = {"customers": _customers, "flags": _flags, "mood": _mood, "labels": _labels}
+    return _cards(*(sinks.bucketed(f(spark, sf_dir), f"tidemark_{name}_{run}", ["app_key"], n, f"{root}/cards-{run}/{name}") for name, f in made.items()))
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("o_orderpriority") == "1-URGENT", "pain").when(F.col("o_orderpriority") == "5-LOW", "praise").otherwise("other")
+    return table(spark, sf_dir, "orders").select(F.concat(F.lit("play:"), "o_custkey").alias("app_key"), kind.alias("type"), F.col("o_orderstatus").alias("aspects"), "o_orderkey")
+
+
+def _cards(customers: DataFrame, flags: DataFrame, mood: DataFrame, labels: DataFrame) -> DataFrame:
+    got = market.cards(customers, flags, mood, market.review_insights(labels, "o_orderkey"), ["ff", "fo", "fp"])
     return got.select("app_key", "title", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("ff", "fo", "fp")), "n_reviews", "n_nd", F.round("avg_rating", 6).alias("avg_rating"), "pains", "praises", "top_aspects")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, text
-from ..operators import aggregate, dedupe, flatten, gates, joins, schema, sentiment
+from ..operators import aggregate, dedupe, flatten, gates, joins, numbering, schema, sentiment
 from ..sources import paged, stores
 from ..streaming import feed, live
 from .base import query, shared, table
@@ -324,6 +324,22 @@ def paged_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews.select("app_key", "country", "review_id", F.md5("body").alias("body"), "rating")
 
 
+@query("""
+SELECT k, source, row_number() OVER (ORDER BY source, seq) - 1 AS n FROM (
+  SELECT k, min(source) AS source, min(seq) FILTER (source = least_source) AS seq FROM (
+    SELECT *, min(source) OVER (PARTITION BY k) AS least_source FROM (
+      SELECT md5(text) AS k, 0 AS source, conv_id * 1000000 + turn AS seq FROM conversations UNION ALL SELECT md5(text), 1, doc_id FROM documents))
+  GROUP BY k)
+""")
+def first_sight_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of conversations and then of documents, numbered in the order of first sight."""
+    shared(spark)
+    key = F.md5(F.encode("text", "UTF-8")).alias("k")
+    talks = table(spark, sf_dir, "conversations").select(key, (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("at"))
+    docs = table(spark, sf_dir, "documents").select(key, F.col("doc_id").alias("at"))
+    return numbering.numbered(numbering.first_sights([(talks, ["at"]), (docs, ["at"])], ["k"]), ["source", "seq"]).select("k", "source", "n")
+
+
 _AT = "CASE WHEN conv_id % 5 > 0 THEN (conv_id * 37 + turn) % 1000 END"
 
 

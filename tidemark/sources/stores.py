@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates, html, jsonx, numbers, text
+from ..operators.numbering import distinct_in_order
 
 #: The columns of a raw record.
 RAW = ("store", "id", "app_key", "title", "developer", "category", "rating_avg", "rating_count", "installs_or_users", "pricing_raw", "price_app", "iap_min", "iap_max", "iap_count",
@@ -14,13 +15,14 @@ RAW = ("store", "id", "app_key", "title", "developer", "category", "rating_avg",
 
 
 def discovered(pages: DataFrame, kind: str, keyword: str, body: str, per_keyword: int | None = None) -> DataFrame:
-    """(store, id) of the apps that search pages link to, in order of appearance, at most so many for each keyword."""
+    """(store, id) of the apps that search pages link to, at most so many for each keyword, in the order of the keywords and, for
+    each, of appearance; an app stands where it is seen first."""
     find, store = {"play": (html.play_id, "PlayStore"), "cws": (html.cws_id, "ChromeWS")}[kind]
     rows = pages.select(keyword, F.posexplode(html.links(F.col(body))).alias("pos", "link")).select(keyword, "pos", find(F.col("link")).alias("id")).where("id is not null")
     first = rows.groupBy(keyword, "id").agg(F.min("pos").alias("pos"))
     if per_keyword:
         first = first.withColumn("r", F.row_number().over(W.partitionBy(keyword).orderBy("pos"))).where(F.col("r") <= per_keyword)
-    return first.select("id").distinct().select(F.lit(store).alias("store"), "id")
+    return distinct_in_order([(first, [keyword, "pos"])], ["id"]).select(F.lit(store).alias("store"), "id")
 
 
 def discovered_ios(payloads: DataFrame, body: str) -> DataFrame:
