@@ -471,13 +471,20 @@ def test_jaccard_edge(edge, empty):
     assert len(got) == len(EDGE) and jaccard_join.joined(empty).count() == 0
 
 
-def test_bitmap_never_loses_a_pair():
-    rng = np.random.default_rng(1)
-    for _ in range(50):
-        a = np.unique(rng.integers(0, 2**63, 200, dtype=np.uint64))
-        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 2**63, 20, dtype=np.uint64)]))
-        x, y = (np.frombuffer(jaccard_join.bitmap(s), np.uint64) for s in (a, b))
-        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+@pytest.mark.parametrize("n", [1, 60, 200, 255, 260, 1000, 3000])
+def test_bitmap_never_loses_a_pair(n):
+    rng = np.random.default_rng(n)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))]
+    for share in (0.99, 0.95, 0.9, 0.85):
+        sets.append(np.unique(np.concatenate([sets[0][rng.random(len(sets[0])) < share], rng.integers(0, 2**63, n // 20, dtype=np.uint64)])))
+    sets = [s for s in sets if len(s)] + [np.unique(rng.integers(0, 2**63, max(1, n * k // 8), dtype=np.uint64)) for k in (3, 8, 40)]
+    bits = jaccard_join.Bitmaps([jaccard_join.bitmap(s) for s in sets])
+    i, j = (x.ravel() for x in np.mgrid[0 : len(sets), 0 : len(sets)])
+    for x, y, d in zip(i, j, bits.apart(i, j)):
+        apart = len(np.setxor1d(sets[x], sets[y]))
+        assert d <= apart and bits.apart(np.array([y]), np.array([x]))[0] == d
+        if n >= 200 and 0.8 < len(sets[x]) / len(sets[y]) < 1.25 and apart > len(sets[x]) + len(sets[y]) - 40:
+            assert d > 0.2 * (len(sets[x]) + len(sets[y])) / 2  # strangers are told apart
 
 
 def spark_hash(*values):

@@ -42,8 +42,8 @@ from pyspark.sql import functions as F
 from .base import discard, partitions, runs, sized_join, slices, tuned, written
 from .textnp import mix, shingle_sets
 
-#: Slots of the sketch (a power of two) and of a set's bitmap; most members of a block in a cell.
-SLOTS, SLICES, BITS, CELL = 1 << 20, 64, 1024, 512
+#: Slots of the sketch (a power of two); least and most bits of a set's bitmap; most members of a block in a cell.
+SLOTS, SLICES, BITS, CELL = 1 << 20, 64, (128, 1 << 15), 512
 
 
 def _slot(s: np.ndarray) -> np.ndarray:
@@ -90,11 +90,45 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Parities of the set's shingles in BITS cells: two bitmaps differ in no more bits than the sets in shingles."""
-    bits = np.bincount((mix(s ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(54)).astype(np.int64), minlength=BITS) & 1
+    """Parities of the set's shingles in half as many cells or a few more (a power of two): two bitmaps of one size differ in no
+    more bits than the sets in shingles. The halves of a bitmap, put together, are the bitmap of half the size.
+
+    Unlinked sets of n shingles differ in nearly half of the cells, so in n / 4 bits at least, and linked ones in n / 4.5 at most.
+    """
+    size = min(max(1 << ((len(s) - 1) // 2).bit_length(), BITS[0]), BITS[1])
+    bits = np.bincount((mix(s ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+class Bitmaps:
+    """The bitmaps of some sets, compared at the size of the smaller one; linked sets' sizes are one step apart at most."""
+
+    def __init__(self, bits: list[bytes]) -> None:
+        size = np.array([len(b) // 8 for b in bits])
+        self.level = np.log2(size).astype(np.int64)
+        self.rows: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by size: each set's row, and the rows
+        for k in np.unique(self.level):
+            own, larger = np.flatnonzero(self.level == k), np.flatnonzero(self.level == k + 1)
+            at = np.full(len(bits), -1)
+            at[own], at[larger] = np.arange(len(own)), len(own) + np.arange(len(larger))
+            table = [np.frombuffer(b"".join([bits[i] for i in own]), np.uint64).reshape(-1, 1 << k)]
+            if len(larger):
+                halves = np.frombuffer(b"".join([bits[i] for i in larger]), np.uint64).reshape(-1, 2, 1 << k)
+                table.append(halves[:, 0] ^ halves[:, 1])
+            self.rows[int(k)] = at, np.concatenate(table)
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """In how many bits the sets i and j differ; 0 where their sizes don't allow a link."""
+        out = np.zeros(len(i), np.int64)
+        low, high = np.minimum(self.level[i], self.level[j]), np.maximum(self.level[i], self.level[j])
+        for k in np.unique(low):
+            which = np.flatnonzero((low == k) & (high <= k + 1))
+            at, rows = self.rows[int(k)]
+            for part in np.array_split(which, 1 + (len(which) << int(k)) // (1 << 22)):  # 32 MB at a time
+                out[part] = np.bitwise_count(rows[at[i[part]]] ^ rows[at[j[part]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def digested(rows: DataFrame, levels, k: int, percent: int) -> DataFrame:
     """Per document: id, n (size of its set), digest of the set, prefix and its digest, bitmap."""
 
@@ -127,7 +161,7 @@ def cell_pairs(f: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
     Sizes rise within a cell, so a row that has met a partner too large for it is done.
     """
     n, pos, block, gid = (f[c].to_numpy(np.int64) for c in ("n", "pos", "block", "gid"))
-    bits = np.frombuffer(b"".join(f["bits"]), np.uint64).reshape(len(f), BITS // 64)
+    bits = Bitmaps(f["bits"].tolist())
     cell = np.zeros(len(f), np.int64)
     for c in CELL_KEY:
         x = f[c].to_numpy()
@@ -148,8 +182,7 @@ def cell_pairs(f: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
         need = -(-percent * (n[i] + n[j]) // (100 + percent))  # least intersection of linked sets
         ok &= np.minimum(n[i] - pos[i], n[j] - pos[j]) + np.minimum(pos[i], pos[j]) >= need
         i, j, need = i[ok], j[ok], need[ok]
-        apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
-        ok = apart <= n[i] + n[j] - 2 * need
+        ok = bits.apart(i, j) <= n[i] + n[j] - 2 * need
         found.append((i[ok], j[ok]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
