@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators import dedupe
+from tidemark.operators import calls, dedupe
 from tidemark.sources import committed, paged, stores
 from tidemark.streaming import feed, live
 
@@ -188,7 +188,7 @@ def test_retries_pause_longer_each_time():
             raise OSError
         return 7
 
-    assert paged.retried(call, 3, 0.5, waits.append) == 7 and waits == [0.5, 1.0]
+    assert calls.retried(call, 3, 0.5, waits.append) == 7 and waits == [0.5, 1.0]
     with pytest.raises(OSError):
         left[0] = 5
-        paged.retried(call, 2, 0.5, waits.append)
+        calls.retried(call, 2, 0.5, waits.append)

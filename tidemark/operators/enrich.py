@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonx
 from ..functions.text import cut, labelled_sections, listed
-from . import flatten, joins
+from . import calls, flatten, joins
 
 Client = Callable[[str], str]
 #: What an answer is when the call fails.
@@ -25,11 +25,11 @@ def prompt(task: str, sections: dict[str, Column], caps: dict[str, int] | None =
     return F.concat(F.lit(task.strip() + "\n\n"), labelled_sections(parts))
 
 
-def answered(df: DataFrame, prompt_col: str, client: Client | None, stub: str = STUB, pause: float = 0.0) -> DataFrame:
+def answered(df: DataFrame, prompt_col: str, client: Client | None, stub: str = STUB, pause: float = 0.0, attempts: int = 1) -> DataFrame:
     """With the columns ``answer`` and ``failed``. Without a client (no key) nothing is asked and every answer is the stub.
 
-    The client is pickled to the tasks; a batch's repeated prompts are asked once, ``pause`` seconds apart; an exception is
-    that row's failure.
+    The client is pickled to the tasks; a batch's repeated prompts are asked once, ``pause`` seconds apart, and up to ``attempts``
+    times with pauses that double; the last exception is that row's failure. ``calls.paced`` keeps a pace over all tasks.
     """
     if client is None:
         return df.withColumns({"answer": F.lit(stub), "failed": F.lit(True)})
@@ -42,7 +42,7 @@ def answered(df: DataFrame, prompt_col: str, client: Client | None, stub: str =
             seen: dict[str, tuple[str, bool]] = {}
             for p in f[prompt_col].unique():
                 try:
-                    seen[p] = (client(p), False)
+                    seen[p] = (calls.retried(lambda p=p: client(p), attempts, max(pause, 0.1)), False)
                 except Exception:  # the provider's failures are data here
                     seen[p] = (stub, True)
                 if pause:

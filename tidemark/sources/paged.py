@@ -24,22 +24,12 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.calls import retried
+
 Fetch = Callable[[str, str, "str | None"], "tuple[str, str | None]"]
 SCHEMA = "app_id string, country string, page int, body string, error string"
 
 
-def retried(call: Callable, attempts: int, pause: float, wait: Callable[[float], None] = time.sleep):  # noqa: ANN201
-    """The call's result; it is tried ``attempts`` times at most, with pauses that double. The last error rises."""
-    for n in range(attempts):
-        try:
-            return call()
-        except Exception:
-            if n == attempts - 1:
-                raise
-            wait(pause * 2**n)
-    raise ValueError("no attempts")
-
-
 class Ledger:
     """Where each feed stands after each round: {"token", "page", "failed"} in ``round=k/<feed>.more`` or ``.done``."""
 
