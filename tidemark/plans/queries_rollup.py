@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, text
-from ..operators import aggregate, dedupe, flatten, gates, joins, numbering, schema, sentiment
+from ..operators import aggregate, dedupe, done_keys, flatten, gates, joins, numbering, schema, sentiment
 from ..sources import paged, stores
 from ..streaming import feed, live
 from .base import query, shared, table
@@ -294,13 +295,14 @@ SELECT min(event_id) AS event_id, user_id, value FROM events GROUP BY user_id, v
 """)
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feed in batches: the first row of each (user, value), whichever batch it comes in."""
-    import uuid
-
     root = f"{shared(spark)}/feed-{uuid.uuid4().hex}"
     rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("app_key"), F.col("value").cast("string").alias("review_id"), F.col("event_id").cast("string").alias("body"), F.lit(None).cast("timestamp").alias("at"), F.col("event_id").alias("seq"))
-    rows.write.option("maxRecordsPerFile", 4000).parquet(f"{root}/in")
-    stream = feed.feed(spark, f"{root}/in", "app_key string, review_id string, body string, at timestamp, seq long", files_per_batch=1)
-    feed.finish(feed.start(stream, f"{root}/table", f"{root}/state", ["app_key"], "review_id", "seq"))
+    low, high = rows.agg(F.min("seq"), F.max("seq")).first()
+    step = ((high - low) // 4 + 1) if low is not None else 1
+    for k in range(4):  # what comes in is a quarter of the table each time, and a batch
+        rows.where(F.floor((F.col("seq") - (low or 0)) / step) == k).write.mode("append").parquet(f"{root}/in")
+        stream = feed.feed(spark, f"{root}/in", "app_key string, review_id string, body string, at timestamp, seq long", files_per_batch=1_000_000)
+        feed.finish(feed.start(stream, f"{root}/table", f"{root}/state", ["app_key"], "review_id", "seq"))
     got = feed.latest(spark, f"{root}/table", ["app_key"], "body", "at", "seq")
     return got.select(F.col("seq").alias("event_id"), F.col("app_key").cast("bigint").alias("user_id"), F.col("review_id").cast("double").alias("value"))
 
@@ -311,8 +313,6 @@ SELECT 'play:' || (conv_id % 20) AS app_key, role AS country, conv_id || '-' ||
 def paged_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages as reviews on saved pages, twenty apps in as many countries as there are roles, read page by page by the source,
     a partition for each (app, country)."""
-    import uuid
-
     root = f"{shared(spark)}/pages-{uuid.uuid4().hex}"
     one = F.struct(F.concat_ws("-", "conv_id", "turn").alias("reviewId"), F.lit("u").alias("userName"), F.col("text").alias("content"), (F.col("turn") % 5 + 1).cast("int").alias("score"))
     rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 20).cast("string").alias("app"), F.col("role").alias("country"), F.floor(F.col("conv_id") / 500).alias("page"), one.alias("one"))
@@ -340,6 +340,16 @@ def first_sight_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbering.numbered(numbering.first_sights([(talks, ["at"]), (docs, ["at"])], ["k"]), ["source", "seq"]).select("k", "source", "n")
 
 
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def resume_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that have no label yet, by the stored filter of those that have."""
+    root = f"{shared(spark)}/done-{uuid.uuid4().hex}"
+    done = table(spark, sf_dir, "labels").select("doc_id")
+    done_keys.filter_of(done, ["doc_id"]).write.parquet(f"{root}/filter")
+    known = spark.read.schema(done_keys.SCHEMA).parquet(f"{root}/filter")
+    return done_keys.not_done(table(spark, sf_dir, "documents").select("doc_id"), done, ["doc_id"], known)
+
+
 _AT = "CASE WHEN conv_id % 5 > 0 THEN (conv_id * 37 + turn) % 1000 END"
 
 
@@ -352,8 +362,6 @@ WHERE r = 1
 def live_best_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages as reviews that come in two waves, the feed being stopped and started again between them: of each (role,
     conversation) the first message, and of these the best of each text, as the live table stands in the end."""
-    import uuid
-
     root = f"{shared(spark)}/live-{uuid.uuid4().hex}"
     rows = table(spark, sf_dir, "conversations").withColumn("at", F.when(F.col("conv_id") % 5 > 0, F.timestamp_seconds((F.col("conv_id") * 37 + F.col("turn")) % 1000)))
     rows = rows.withColumn("seq", F.col("conv_id") * 1_000_000 + F.col("turn"))
@@ -372,8 +380,6 @@ SELECT event_id, user_id FROM events WHERE (event_id % 11 > 0 AND ts >= TIMESTAM
 """)
 def stream_late_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feed without late rows; rows without a time go, rows whose time can't be read stay."""
-    import uuid
-
     root = f"{shared(spark)}/feed-{uuid.uuid4().hex}"
     _batches(spark, sf_dir).write.parquet(f"{root}/in")
     late = feed.not_late(feed.feed(spark, f"{root}/in", _FEED), "at", dt.datetime(2024, 1, 31, tzinfo=dt.timezone.utc), 10)
