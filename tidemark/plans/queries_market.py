@@ -277,7 +277,7 @@ _KEY32 = "translate(lpad(s_suppkey::VARCHAR, 32, '0'), '0123456789', 'abcdefghij
 
 def _play_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(
-        F.lit("<html><title>"), F.col("s_name"), F.lit(" &amp; Co</title><script>4.9 out of 5</script><p>A fine app.</p>"),
+        F.lit('<html><meta property="og:image" content="https://img.example/'), _k(), F.lit('.png"><title>'), F.col("s_name"), F.lit(" &amp; Co</title><script>4.9 out of 5</script><p>A fine <b>app</b>.</p><svg><p>no</p></svg><h2>Details</h2>"),
         _page(("Offered By", F.concat(F.lit("Maker "), _k(), F.lit(", 5 High Road"))), ("Category", F.lit("Tools")), ("Downloads", F.concat(_k(), F.lit("K+"))), ("Updated on", F.lit("Sep 12, 2025")), ("Version", F.concat(F.lit("1."), _k()))),
         F.lit("<p>"), (_k() % 5).cast("string"), F.lit(".5 out of 5</p><p>"), F.format_number(_k() * 100, 0), F.lit(' reviews</p><p>$1.99 - $20.00 per item</p><a href="https://play.google.com/x">s</a>'),
         F.when(_k() % 2 == 0, F.concat(F.lit('<a href="https://site'), _k(), F.lit('.example/">Visit website</a>'))).otherwise('<a href="https://other.example/a">x</a>'), F.lit("</html>"),
@@ -288,12 +288,12 @@ def _play_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT 'play:com.a' || s_suppkey AS app_key, s_name || ' & Co' AS title, 'Maker ' || s_suppkey AS developer, 'Tools' AS category, (s_suppkey % 5) + 0.5::DOUBLE AS rating_avg, (s_suppkey * 100)::BIGINT AS rating_count,
   (s_suppkey * 1000)::BIGINT AS installs_or_users, 1.99::DOUBLE AS iap_min, 20.0::DOUBLE AS iap_max, 2::BIGINT AS iap_count, CASE WHEN s_suppkey % 2 = 0 THEN 'https://site' || s_suppkey || '.example/' ELSE 'https://other.example/a' END AS website_url,
-  '2025-09-12' AS last_update, '1.' || s_suppkey AS version
+  '2025-09-12' AS last_update, '1.' || s_suppkey AS version, s_name || ' & Co' || chr(10) || 'A fine ' || chr(10) || 'app' || chr(10) || '.' AS description, 'https://img.example/' || s_suppkey || '.png' AS icon_url
 FROM supplier
 """)
 def play_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = stores.play_records(_play_pages(spark, sf_dir), "id", "url", "html")
-    return got.select("app_key", "title", "developer", "category", "rating_avg", "rating_count", "installs_or_users", "iap_min", "iap_max", "iap_count", "website_url", "last_update", "version")
+    return got.select("app_key", "title", "developer", "category", "rating_avg", "rating_count", "installs_or_users", "iap_min", "iap_max", "iap_count", "website_url", "last_update", "version", "description", "icon_url")
 
 
 def _key32() -> Column:
@@ -353,8 +353,8 @@ def discovered_apps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids that search pages and payloads lead to; two at most for each keyword of the first store."""
     rows = table(spark, sf_dir, "supplier")
     links = F.array_join(F.transform(F.array_sort(F.collect_list(_k())), lambda k: F.concat(F.lit('<a class="x" href="/store/apps/details?id=com.k'), k % 40, F.lit('&hl=en">a</a>'))), "\n")
-    pages = rows.groupBy("s_nationkey").agg(links.alias("html"))
-    play = stores.discovered(pages, "play", "s_nationkey", "html", 2)
+    pages = rows.groupBy("s_nationkey", F.floor(_k() / 500).alias("page")).agg(links.alias("html"))  # of five hundred links at most
+    play = stores.discovered(pages, "play", "s_nationkey", "html", 2, "page")
     cws = stores.discovered(rows.select("s_nationkey", F.concat(F.lit("<a href='https://x/detail/name/"), _key32(), F.lit("?q'>b</a><a href='/none'>c</a>")).alias("html")), "cws", "s_nationkey", "html")
     ios = stores.discovered_ios(rows.select(F.concat(F.lit('{"results": [{"trackId": '), _k(), F.lit('}, {"other": 1}]}')).alias("b")), "b")
     return play.unionByName(cws).unionByName(ios)

@@ -14,15 +14,16 @@ RAW = ("store", "id", "app_key", "title", "developer", "category", "rating_avg",
        "website_url", "store_url", "description", "release_date", "last_update", "version", "icon_url")
 
 
-def discovered(pages: DataFrame, kind: str, keyword: str, body: str, per_keyword: int | None = None) -> DataFrame:
+def discovered(pages: DataFrame, kind: str, keyword: str, body: str, per_keyword: int | None = None, page: str | None = None) -> DataFrame:
     """(store, id) of the apps that search pages link to, at most so many for each keyword, in the order of the keywords and, for
-    each, of appearance; an app stands where it is seen first."""
+    each, of its pages (``page``, if it has several) and of appearance; an app stands where it is seen first."""
     find, store = {"play": (html.play_id, "PlayStore"), "cws": (html.cws_id, "ChromeWS")}[kind]
-    rows = pages.select(keyword, F.posexplode(html.links(F.col(body))).alias("pos", "link")).select(keyword, "pos", find(F.col("link")).alias("id")).where("id is not null")
-    first = rows.groupBy(keyword, "id").agg(F.min("pos").alias("pos"))
+    number = F.col(page).cast("long") if page else F.lit(0).cast("long")
+    rows = pages.select(keyword, number.alias("__page"), F.posexplode(html.links(F.col(body))).alias("pos", "link")).select(keyword, "__page", "pos", find(F.col("link")).alias("id")).where("id is not null")
+    first = rows.groupBy(keyword, "id").agg(F.min(F.struct("__page", "pos")).alias("at"))
     if per_keyword:
-        first = first.withColumn("r", F.row_number().over(W.partitionBy(keyword).orderBy("pos"))).where(F.col("r") <= per_keyword)
-    return distinct_in_order([(first, [keyword, "pos"])], ["id"]).select(F.lit(store).alias("store"), "id")
+        first = first.withColumn("r", F.row_number().over(W.partitionBy(keyword).orderBy("at"))).where(F.col("r") <= per_keyword)
+    return distinct_in_order([(first, [keyword, "at"])], ["id"]).select(F.lit(store).alias("store"), "id")
 
 
 def discovered_ios(payloads: DataFrame, body: str) -> DataFrame:
