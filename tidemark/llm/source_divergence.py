@@ -222,14 +222,18 @@ def counted_tries(docs: DataFrame, width: int = WIDTH, held: int = HELD) -> Data
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, dict[str, Counter]] = {}
         docs_of: dict[str, Counter] = {}
+        size = 0
         for b in batches:
             for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 words = terms(text.as_py())
-                counts.setdefault(lang, {}).setdefault(source, Counter()).update(words)
+                own = counts.setdefault(lang, {}).setdefault(source, Counter())
+                size -= len(own)
+                own.update(words)
+                size += len(own)
                 docs_of.setdefault(lang, Counter()).update(set(words))
-            if sum(len(c) for by in counts.values() for c in by.values()) > held:
-                yield from _batched(grown(counts, docs_of), TRIES)
-                counts, docs_of = {}, {}
+                if size > held:
+                    yield from _batched(grown(counts, docs_of), TRIES)
+                    counts, docs_of, size = {}, {}, 0
         yield from _batched(grown(counts, docs_of), TRIES)
 
     return docs.mapInArrow(counted, _DDL)
