@@ -664,5 +664,5 @@ def test_word_hashes_do_not_depend_on_the_batch():
 
 def test_registered_queries():
     names = set(__spark_entry__.queries())
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)} and set(QUERIES) <= names and "pipeline" in names
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)} and set(QUERIES) <= names and "pipeline" in names
     assert set(SQL) <= set(QUERIES) and set(SQL) <= set(__spark_entry__.oracle_sql())
