@@ -114,7 +114,6 @@ def start(changes: DataFrame, table: str, checkpoint: str, many: bool = True) ->
     """Append what changes, batch by batch, over all input there is. The state is kept by RocksDB with a log of changes; with
     ``many`` batches to come it stays open between them, else executors close it after each one and need no disk for it."""
     spark = changes.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", str(not many).lower())
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
@@ -122,7 +121,13 @@ def start(changes: DataFrame, table: str, checkpoint: str, many: bool = True) ->
         if not committed.append(batch, table, f"{n:010d}"):
             batch.write.format("noop").mode("overwrite").save()  # the state still has to see a batch that is run again
 
-    return changes.writeStream.option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).foreachBatch(put).start()
+    closing = "spark.sql.streaming.stateStore.unloadOnCommit"
+    before = spark.conf.get(closing, "false")
+    spark.conf.set(closing, str(not many).lower())
+    try:
+        return changes.writeStream.option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).foreachBatch(put).start()
+    finally:
+        spark.conf.set(closing, before)  # a query keeps the settings that it was started with
 
 
 def _best(rows: DataFrame) -> DataFrame:
