@@ -90,16 +90,15 @@ def human_agreement(ratings: DataFrame, human: DataFrame, items: list[str], rate
 RATER_BLOCK = 1000
 
 
-def _together(marks: DataFrame, block: int) -> DataFrame:
+def _together(marks: DataFrame, own: DataFrame, block: int) -> DataFrame:
     """(rater_a, rater_b, both): items where both gave a one, for the pairs that have any; a < b. Items' raters become 0/1 rows,
     and the products of such rows are added up in the task, so no pair of one item is ever a row."""
-    ones = marks.where("one = 1 and rater is not null")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("r") / block)).cast("int")
-    n = marks.agg(F.count_distinct("rater").alias("r")).select(blocks.alias("blocks"))
-    ones = ones.crossJoin(F.broadcast(n)).withColumn("b", F.expr("cast(pmod(xxhash64(rater), blocks) as int)"))
-    per = ones.groupBy("__item", "blocks", "b").agg(F.collect_list("rater").alias("raters"))  # as many as a block has at most, about
-    sides = per.groupBy("__item", "blocks").agg(F.map_from_entries(F.collect_list(F.struct("b", "raters"))).alias("of"))
-    pairs = sides.select("__item", "of", F.explode(F.expr("flatten(transform(map_keys(of), x -> transform(filter(map_keys(of), y -> y >= x), y -> named_struct('lo', x, 'hi', y))))")).alias("p"))
+    blocks = own.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block)).cast("int").alias("blocks"))
+    ones = marks.where("one = 1 and rater is not null").groupBy("__item").agg(F.collect_list("rater").alias("raters"))  # a rater is there once
+    ones = ones.crossJoin(F.broadcast(blocks))
+    of = "map_from_entries(transform(sequence(0, blocks - 1), x -> struct(x, filter(raters, r -> pmod(xxhash64(r), blocks) = x))))"
+    sides = ones.withColumn("of", F.when(F.col("blocks") == 1, F.expr("map(0, raters)")).otherwise(F.expr(of)))
+    pairs = sides.select("__item", "of", F.explode(F.expr("flatten(transform(sequence(0, blocks - 1), x -> transform(sequence(x, blocks - 1), y -> named_struct('lo', x, 'hi', y))))")).alias("p"))
     rows = pairs.select(F.pmod("__item.g", F.lit(64)).alias("part"), "p.lo", "p.hi", F.element_at("of", F.col("p.lo")).alias("x"), F.when(F.col("p.lo") < F.col("p.hi"), F.element_at("of", F.col("p.hi"))).alias("y"))
     rows = rows.repartition("lo", "hi", "part").sortWithinPartitions("lo", "hi")  # a block pair has 64 tasks at most
 
@@ -121,6 +120,8 @@ def _together(marks: DataFrame, block: int) -> DataFrame:
 
         for f in frames:
             for lo, hi, x, y in zip(f["lo"], f["hi"], f["x"], f["y"]):
+                if not len(x) or (lo != hi and not len(y)):
+                    continue
                 if (lo, hi) != key:
                     yield from flushed()
                     key, counts, left, right = (lo, hi), np.zeros((64, 64), np.int64), {}, {}
@@ -149,7 +150,7 @@ def rater_agreement(ratings: DataFrame, items: list[str], rater: str, value: str
     whole = marks.select("__item").distinct().agg(F.count(F.lit(1)).alias("n"))  # one row
     own = marks.where("rater is not null").groupBy("rater").agg(F.sum("one").alias("ones"))
     a, b = (own.select(F.col("rater").alias(f"rater_{x}"), F.col("ones").alias(f"ones_{x}")) for x in "ab")
-    pairs = a.join(b, F.col("rater_a") < F.col("rater_b")).join(_together(marks, block), ["rater_a", "rater_b"], "left").na.fill(0, ["both"])
+    pairs = a.join(b, F.col("rater_a") < F.col("rater_b")).join(_together(marks, own, block), ["rater_a", "rater_b"], "left").na.fill(0, ["both"])
     got = pairs.crossJoin(F.broadcast(whole))
     return got.select("rater_a", "rater_b", kappa(*map(F.col, ("n", "ones_a", "ones_b", "both"))).alias("kappa"), "n")
 
