@@ -36,13 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import partitions, sized_join, tuned, written
+from .base import discard, partitions, sized_join, tuned, written
 
 SCALE, SMOOTH = 1_000_000_000, 5
 LEAST_DOCS, RANKS = 30, 50
 #: Bytes of a prefix, counters held by a task, leaves of a range (over all tasks) beyond which its prefix gets longer, leaves
-#: of a row.
-WIDTH, HELD, LEAVES, ROW = 2, 400_000, 250_000, 2_000
+#: of a row; bytes at a term's beginning that are compared for all terms at once.
+HEAD = 24
+WIDTH, HELD, LEAVES, ROW = 2, 400_000, 500_000, 2_000
 #: A-Z are lower-cased; ASCII other than letters ends a term.
 _TERM = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -71,11 +72,25 @@ def _unpacked(raw: bytes, n: int) -> tuple[list[list[int]], int]:
     return out, at
 
 
-def _coded(words: list[bytes], docs: np.ndarray, first: np.ndarray, sources: np.ndarray, counts: np.ndarray) -> bytes:
-    """The linear form of a trie of sorted terms; the counters of term i are those from first[i] to first[i + 1]."""
-    depth = [0] + [_shared(a, b) for a, b in zip(words, words[1:])]
-    ends = [w[d:] for w, d in zip(words, depth)]
-    return _packed(np.array(depth[: len(words)], np.int64), np.array([len(e) for e in ends], np.int64), docs, np.diff(first), sources, counts) + b"".join(ends)
+def _depths(words: list[bytes]) -> np.ndarray:
+    """For each of some sorted, different terms how many bytes it shares with the one before (0 for the first)."""
+    out = np.zeros(len(words), np.int64)
+    if len(words) > 1:
+        heads = np.array(words, f"S{HEAD}").view(np.uint8).reshape(len(words), HEAD)  # no term holds a zero byte
+        other = heads[1:] != heads[:-1]
+        out[1:] = other.argmax(axis=1)
+        for i in np.flatnonzero(~other.any(axis=1)) + 1:
+            out[i] = _shared(words[i - 1], words[i])
+    return out
+
+
+def _coded(words: list[bytes], depth: np.ndarray, docs: np.ndarray, first: np.ndarray, sources: np.ndarray, counts: np.ndarray) -> bytes:
+    """The linear form of a trie of sorted terms; the counters of term i are those from first[i] to first[i + 1]. Of the depths
+    the first is taken for 0."""
+    depth = depth.copy()
+    depth[:1] = 0
+    ends = [w[d:] for w, d in zip(words, depth.tolist())]
+    return _packed(depth, np.array(list(map(len, ends)), np.int64), docs, np.diff(first), sources, counts) + b"".join(ends)
 
 
 def leaves_of(nodes: bytes, names: list[str]) -> Iterator[tuple[int, bytes, int, dict[str, int]]]:
@@ -103,16 +118,16 @@ def dumped(leaves: list[tuple[bytes, int, dict[str, int]]]) -> tuple[bytes, list
     sources = np.array([names.setdefault(s, len(names)) for _, _, own in leaves for s in own], np.int64)
     counts = np.array([c for _, _, own in leaves for c in own.values()], np.int64)
     first = np.concatenate([[0], np.cumsum(holders, dtype=np.int64)])
-    return _coded([w for w, _, _ in leaves], np.array([n for _, n, _ in leaves], np.int64), first, sources, counts), list(names), len(leaves)
+    words = [w for w, _, _ in leaves]
+    return _coded(words, _depths(words), np.array([n for _, n, _ in leaves], np.int64), first, sources, counts), list(names), len(leaves)
 
 
-def _by_prefix(words: list[bytes], width: int) -> Iterator[tuple[int, int]]:
-    """Stretches of at most ROW sorted terms that share their first ``width`` bytes."""
-    at = 0
-    for i in range(1, len(words) + 1):
-        if i == len(words) or i - at == ROW or words[i][:width] != words[at][:width]:
-            yield at, i
-            at = i
+def _by_prefix(depth: np.ndarray, width: int) -> Iterator[tuple[int, int]]:
+    """Stretches of at most ROW sorted terms that share their first ``width`` bytes, by their depths."""
+    cuts = [*np.flatnonzero(depth < width).tolist(), len(depth)]
+    for a, b in zip(cuts, cuts[1:]):
+        for at in range(a, b, ROW):
+            yield at, min(b, at + ROW)
 
 
 class Trie:
@@ -214,10 +229,11 @@ def counted_tries(docs: DataFrame, width: int = WIDTH, held: int = HELD) -> Data
             order = np.argsort(leaf, kind="stable")
             leaf, source, count = leaf[order], source[order], count[order]
             docs = np.fromiter(map(own.__getitem__, words), np.int64, len(words))
-            for a, b in _by_prefix(words, width):
+            depth = _depths(words)
+            for a, b in _by_prefix(depth, width):
                 first = np.searchsorted(leaf, np.arange(a, b + 1))
                 x, y = first[0], first[-1]
-                yield lang, words[a][:width], _coded(words[a:b], docs[a:b], first - x, source[x:y], count[x:y]), names, b - a
+                yield lang, words[a][:width], _coded(words[a:b], depth[a:b], docs[a:b], first - x, source[x:y], count[x:y]), names, b - a
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, dict[str, Counter]] = {}
@@ -248,7 +264,7 @@ def merged_tries(tries: DataFrame, least_docs: int, width: int = WIDTH, leaves:
     def recut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def cut(row: dict) -> Iterator[tuple]:
             own = list(walk(row["nodes"], row["names"]))
-            for a, b in _by_prefix([w for w, _, _ in own], row["width"]):
+            for a, b in _by_prefix(_depths([w for w, _, _ in own]), row["width"]):
                 yield (row["lang"], own[a][0][: row["width"]], *dumped(own[a:b]))
 
         for b in batches:
@@ -348,7 +364,7 @@ def divergence(
     terms (part `term`): lang, source, part, item, value, rank."""
     tuned(docs.sparkSession)
     rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))))
-    groups = written(rows.select("lang", "source").distinct(), "groups")
+    occurring = written(rows.select("lang", "source").distinct(), "groups")
     tries = written(counted_tries(rows, width, held), "tries")
     merged = written(merged_tries(tries, least_docs, width, leaves), "merged_tries")
 
@@ -363,7 +379,7 @@ def divergence(
 
     found = merged.select("lang", "nodes", "names").mapInArrow(summed, "lang string, source string, n bigint").groupBy("lang", "source").agg(F.sum("n").alias("n"))
     kept = merged.groupBy("lang").agg(F.sum("leaves").alias("kept"))
-    groups = groups.join(found, ["lang", "source"], "left").join(kept, "lang", "left").select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("kept", F.lit(0)).alias("kept"))
+    groups = occurring.join(found, ["lang", "source"], "left").join(kept, "lang", "left").select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("kept", F.lit(0)).alias("kept"))
     groups = written(groups, "group_totals")
     per_lang = groups.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "n"))).alias("sources"), F.first("kept").alias("kept"))
     per_lang = written(per_lang.select("lang", F.col("sources.source").alias("all_names"), F.col("sources.n").alias("totals"), "kept"), "languages")
@@ -386,6 +402,7 @@ def divergence(
         yield from _batched((x for lang, d in of.items() for x in d.rows(lang)), PAIRS, 5000)
 
     parts = written(sized_join(merged, per_lang, ["lang"]).mapInArrow(compared, "lang string, source string, part string, item string, value bigint"), "differences")
+    discard(occurring, tries, merged, per_lang)
     best = W.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     of_terms = parts.where("part = 'term'").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= ranks)
 
