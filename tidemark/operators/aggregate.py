@@ -147,6 +147,8 @@ def rater_agreement(ratings: DataFrame, items: list[str], rater: str, value: str
     pair of raters is a row of the result, and nothing else is as large.
     """
     marks = _marks(ratings, items, rater, value)
+    if ratings.sparkSession.sparkContext.getCheckpointDir():  # they are read several times; without a folder they are made again
+        marks = marks.checkpoint()
     whole = marks.select("__item").distinct().agg(F.count(F.lit(1)).alias("n"))  # one row
     own = marks.where("rater is not null").groupBy("rater").agg(F.sum("one").alias("ones"))
     a, b = (own.select(F.col("rater").alias(f"rater_{x}"), F.col("ones").alias(f"ones_{x}")) for x in "ab")

@@ -174,6 +174,7 @@ SELECT rater_a, rater_b, CASE WHEN pe < 1 THEN round((po - pe) / (1 - pe), 3) EN
 """)
 def many_raters_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five hundred raters of stretches of twenty conversations."""
+    shared(spark)
     v = (F.length("text") % 3 > 0).cast("int")
     rows = table(spark, sf_dir, "conversations").select(F.floor(F.col("conv_id") / 20).alias("item"), F.concat(F.lit("r"), (F.col("conv_id") * 7 + F.col("turn")) % 500).alias("rater"), v.alias("v"))
     return aggregate.rater_agreement(rows, ["item"], "rater", "v")
