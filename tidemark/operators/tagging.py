@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,15 +64,20 @@ def words(*terms: str) -> dict[str, list[str]]:
     return {t: [rf"\b{re.escape(t)}\b"] for t in terms}
 
 
-def tags(text: Column, features: Mapping[str, list[str]] = DOMAIN) -> Column:
-    """The features that a text shows, in table order. One pass finds all whose patterns begin with literals; the others are
-    searched one by one."""
+def tags_each(texts: Sequence[Column], features: Mapping[str, list[str]] = DOMAIN) -> Column:
+    """For each of some texts the features that it shows, in table order, as an array of arrays. One pass finds all whose patterns
+    begin with literals; the others are searched one by one."""
     quick = {n: p for n, p in features.items() if phrases.begun(tuple(p))}
+    found = phrases.shown_each(texts, quick)
     if len(quick) == len(features):
-        return phrases.shown(text, features)
-    found = phrases.shown(text, quick)
-    hit = [F.when(F.array_contains(found, name) if name in quick else text.rlike(alternation(p)), F.lit(name)) for name, p in features.items()]
-    return F.array_compact(F.array(*hit))
+        return found
+    hit = lambda i, text: (F.when(F.array_contains(found[i], name) if name in quick else text.rlike(alternation(p)), F.lit(name)) for name, p in features.items())
+    return F.array(*(F.array_compact(F.array(*hit(i, text))) for i, text in enumerate(texts)))
+
+
+def tags(text: Column, features: Mapping[str, list[str]] = DOMAIN) -> Column:
+    """The features that a text shows, in table order."""
+    return tags_each([text], features)[0]
 
 
 def neurodiverse(title: Column, body: Column) -> Column:
@@ -108,8 +113,8 @@ def feature_signals(apps: DataFrame, keys: list[str], fields: Mapping[str, Colum
     Texts are searched where they are read. One map of hits for each app is joined, and an app's features become rows
     only where there is evidence.
     """
-    shown = {name: F.col(f"__shown{i}") for i, name in enumerate(fields)}
-    apps = apps.select(*keys, *(tags(text_or_blank(c), features).alias(f"__shown{i}") for i, c in enumerate(fields.values())))
+    shown = {name: F.col("__shown")[i] for i, name in enumerate(fields)}
+    apps = apps.select(*keys, tags_each([text_or_blank(c) for c in fields.values()], features).alias("__shown"))
     found = F.array(*(F.struct(F.lit(n).alias("feature"), sources(shown, n).alias("found")) for n in features))
     counts = hits.where(F.col("feature").isin(*features)).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("feature", "review_hits"))).alias("__hits"))  # a feature has one row
     rows = apps.select(*keys, found.alias("__found")).join(counts, keys, "left")
