@@ -49,19 +49,28 @@ class Weights:
         return replace(self, include_terms=add(self.include_terms, include), exclude_terms=add(self.exclude_terms, exclude))
 
 
-def field_score(text: Column, w: Weights, weight: float, times: float, minus: float) -> Column:
-    """Terms count as often as they stand in the text as whole words, phrases once each; all in one pass. Terms of several words
-    count besides the words in them."""
-    n = phrases.term_sums(F.lower(text_or_blank(text)), [(w.include_terms, False), (w.include_phrases, True), (w.exclude_terms, False), (w.exclude_phrases, True)])
-    good = F.lit(times) * n[0] + 2 * n[1]
-    bad = F.lit(minus) * n[2] + F.lit(2 * minus) * n[3]
-    return F.lit(weight) * (good - bad)
+def field_scores(columns: dict[str, Column], w: Weights) -> list[Column]:
+    """The score of each weighted field that there is. Terms count as often as they stand in the text as whole words, phrases once
+    each; all terms of all fields in one pass. Terms of several words count besides the words in them."""
+    fields = [f for f in w.fields if f in columns]
+    if not fields:
+        return []
+    lows = [F.lower(text_or_blank(columns[f])) for f in fields]
+    every = phrases.term_sums_each(lows, [(w.include_terms, False), (w.include_phrases, True), (w.exclude_terms, False), (w.exclude_phrases, True)])
+    out = []
+    for i, f in enumerate(fields):
+        weight, times, minus = w.fields[f]
+        n = every[i]
+        good = F.lit(times) * n[0] + 2 * n[1]
+        bad = F.lit(minus) * n[2] + F.lit(2 * minus) * n[3]
+        out.append(F.lit(weight) * (good - bad))
+    return out
 
 
 def relevance(columns: dict[str, Column], store: Column, ratings: Column, installs: Column, updated: Column, as_of: dt.date, w: Weights | None = None) -> Column:
     """Relevance from 0 to 1, to three decimals. ``columns``: the text of each weighted field."""
     w = w or Weights()
-    total = reduce(lambda a, b: a + b, (field_score(columns[f], w, *v) for f, v in w.fields.items() if f in columns), F.lit(0.0))
+    total = reduce(lambda a, b: a + b, field_scores(columns, w), F.lit(0.0))
     category = columns.get("category", F.lit(None).cast("string"))
     allowed = reduce(lambda a, s: a | ((store == s) & category.isin(*w.categories[s])), w.categories, F.lit(False))
     poor = reduce(lambda a, p: a | F.contains(F.lower(text_or_blank(category)), F.lit(p)), w.poor_categories, F.lit(False))
