@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,10 +15,21 @@ from .text import squeeze, text_or_blank
 FORMATS = ("yyyy-MM-dd", "MMM d, yyyy", "MMMM d, yyyy", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "M/d/yyyy", "d MMM yyyy", "d MMMM yyyy", "yyyyMMdd")
 
 
+def _may_fit(t: Column, form: str) -> Column:
+    """Whether a text has what every text of this format has: a digit and all signs that stand in the format; nothing but digits (and
+    a sign) where the format has numbers alone. Reading a text that doesn't fit costs many times as much. Formats with other letters
+    or optional parts are always tried."""
+    bare = re.sub(r"'[^']*'", "", form)
+    signs = [t.contains(s) for s in dict.fromkeys(re.sub(r"[A-Za-z]", "", bare))]
+    if re.search(r"[^yMdHmsX\W]|[\[\]']", bare) or (not signs and re.search("MMM|X", bare)):
+        return F.lit(True)
+    return reduce(lambda a, b: a & b, signs, t.rlike("[0-9]")) if signs else t.rlike(r"^[+-]?[0-9]+$")
+
+
 def parsed_date(c: Column, formats: tuple[str, ...] = FORMATS) -> Column:
     """A date, or null where no format fits the whole text."""
     t = squeeze(text_or_blank(c))
-    return F.coalesce(*(F.try_to_timestamp(t, F.lit(f)).cast("date") for f in formats))
+    return F.coalesce(*(F.when(_may_fit(t, f), F.try_to_timestamp(t, F.lit(f)).cast("date")) for f in formats))
 
 
 def iso_or_raw(c: Column, formats: tuple[str, ...] = ("MMM d, yyyy", "MMMM d, yyyy", "yyyy-MM-dd")) -> Column:
