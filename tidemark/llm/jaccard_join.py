@@ -6,7 +6,8 @@
    equal prefixes and sizes form a *group*. Only groups emit their prefix shingles.
 3. Prefix shingles that occur in one group only are dropped. For the others, and for groups of
    several classes, members meet in cells: a shingle with many members is split into blocks, a cell for each pair of
-   blocks, so no task holds an unbounded group. Pairs must pass the size and the positional filter and a bitmap bound on
+   blocks, so no task holds an unbounded group. Members that also share one of the shared shingles just before meet there
+   already and not again. Pairs must pass the size and the positional filter and a bitmap bound on
    the sets' difference that never loses a pair. Classes with many possible partners are held together by single edges;
    pairs are emitted only for classes with few, so their number is in proportion to the rows.
 4. The sets of classes with possible partners are read again and compared exactly: small heaps whole, dense parts of
@@ -153,6 +154,8 @@ def digested(rows: DataFrame, levels, k: int, percent: int) -> DataFrame:
 
 CLS = np.dtype([("a", "<u8"), ("b", "<u8")])
 CELL_KEY = ["kind", "token", "lo", "hi"]
+#: The shared shingles just before a cell's own one in a member's prefix; 0: none.
+BEFORE = ["before1", "before2", "before3"]
 
 
 def cell_pairs(f: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +164,7 @@ def cell_pairs(f: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
     Sizes rise within a cell, so a row that has met a partner too large for it is done.
     """
     n, pos, block, gid = (f[c].to_numpy(np.int64) for c in ("n", "pos", "block", "gid"))
-    bits = Bitmaps(f["bits"].tolist())
+    bits, before = Bitmaps(f["bits"].tolist()), f[BEFORE].to_numpy(np.int64)
     cell = np.zeros(len(f), np.int64)
     for c in CELL_KEY:
         x = f[c].to_numpy()
@@ -182,6 +185,8 @@ def cell_pairs(f: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
         need = -(-percent * (n[i] + n[j]) // (100 + percent))  # least intersection of linked sets
         ok &= np.minimum(n[i] - pos[i], n[j] - pos[j]) + np.minimum(pos[i], pos[j]) >= need
         i, j, need = i[ok], j[ok], need[ok]
+        ok = ~((before[i][:, :, None] == before[j][:, None, :]) & (before[i] != 0)[:, :, None]).any(axis=(1, 2))  # a pair of an earlier cell
+        i, j, need = i[ok], j[ok], need[ok]
         ok = bits.apart(i, j) <= n[i] + n[j] - 2 * need
         found.append((i[ok], j[ok]))
     if not found:
@@ -235,16 +240,21 @@ def possible_edges(docs: DataFrame, classes: DataFrame, percent: int, cell: int)
     """
     group = F.xxhash64("pdigest", "n").alias("gid")
     members = classes.select(group, F.col("digest").alias("cls"), "n", "bits")
-    several = written(classes.groupBy(group).agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "several")
+    one = (F.min("pdigest") == F.max("pdigest")) & (F.min("n") == F.max("n"))
+    several = written(classes.groupBy(group).agg(F.count(F.lit(1)).alias("m"), one.alias("one")).where("m > 1"), "several")
     groups = docs.where("n > 0").groupBy("pdigest", "n").agg(F.first("prefix").alias("prefix")).select(group, "prefix")  # the only shuffle of whole prefixes
-    tokens = sized_join(groups, several, ["gid"], "left").select("gid", F.coalesce("m", F.lit(1)).alias("m"), F.posexplode("prefix").alias("pos", "token"))
+    tokens = sized_join(groups, several.select("gid", "m"), ["gid"], "left").select("gid", F.coalesce("m", F.lit(1)).alias("m"), F.posexplode("prefix").alias("pos", "token"))
     same = W.partitionBy("token")
     counted = tokens.withColumns({"groups": F.count(F.lit(1)).over(same), "g": F.sum("m").over(same)}).where("groups > 1")
     shared = written(counted.select(F.lit(0).alias("kind"), "token", "gid", "pos", F.ceil(F.col("g") / cell).cast("int").alias("blocks")), "tokens")
     own = several.select(F.lit(1).alias("kind"), F.col("gid").alias("token"), "gid", F.lit(0).alias("pos"), F.ceil(F.col("m") / cell).cast("int").alias("blocks"))
-    dealt = shared.unionByName(own).join(members, "gid").withColumn("block", F.expr("cast(pmod(xxhash64(cls), blocks) as int)"))
+    along = W.partitionBy("gid").orderBy("kind", "pos")
+    # two groups of one name have no order in common
+    earlier = {c: F.when(F.col("kind") == 0, F.lag("token", i + 1, 0).over(along)).otherwise(0) for i, c in enumerate(BEFORE)}
+    shingles = shared.unionByName(own).withColumns(earlier if several.where("not one").isEmpty() else dict.fromkeys(BEFORE, F.lit(0).cast("long")))
+    dealt = shingles.join(members, "gid").withColumn("block", F.expr("cast(pmod(xxhash64(cls), blocks) as int)"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select("kind", "token", "gid", "cls", "n", "pos", "bits", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    dealt = dealt.select("kind", "token", "gid", "cls", "n", "pos", "bits", *BEFORE, "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
 
     def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in whole_cells(frames):
